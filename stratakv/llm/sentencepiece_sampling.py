@@ -14,10 +14,11 @@ are partitioned or batched. Work is vectorised over the words of a batch.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -115,7 +116,11 @@ class Vocabulary:
             for a, b in zip(p, p[1:]):
                 if re.match(r"\w", a) and b != mark and not re.match(r"\w", b):
                     across.setdefault(b, set()).add(a)
-        pairs = "|".join(f"(?<=[{re.escape(''.join(sorted(a)))}]){re.escape(b)}" for b, a in sorted(across.items()))
+        after: dict[str, str] = {}
+        for b, a in sorted(across.items()):
+            a = re.escape("".join(sorted(a)))
+            after[a] = after.get(a, "") + re.escape(b)
+        pairs = "|".join(f"(?<=[{a}])[{b}]" for a, b in after.items())
         more = rf"(?:(?:{pairs})[^\w \n]*\w*)*" if pairs else ""
         return rf" *[^\w \n]*\w+{more}| *[^\w \n]+| +|\n"
 
@@ -132,6 +137,7 @@ class Vocabulary:
                     piece.append(-1)
                 node = to
             piece[node] = i
+        self.longest = max((len(text) for text, _ in pieces), default=1)
         self.piece = np.array(piece, dtype=np.int32)
         keys = np.array([(n << 21) | c for n, c in edges], dtype=np.uint64)
         to = np.array(list(edges.values()), dtype=np.int32)
@@ -194,12 +200,15 @@ class Lattices:
         if len(self.types) > KEPT_TYPES:
             self.clear()
         known = self.types
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            first = len(known)
-            known.update(zip(new, range(first, first + len(new))))
+        out = np.fromiter(map(known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        missing = np.flatnonzero(out < 0).tolist()
+        if missing:
+            rare = [words[i] for i in missing]
+            new = list(dict.fromkeys(rare))
+            known.update(zip(new, range(len(known), len(known) + len(new))))
             self._add(new)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+            out[missing] = np.fromiter(map(known.__getitem__, rare), dtype=np.int64, count=len(rare))
+        return out
 
     def _add(self, words: list[str]) -> None:
         v = self.v
@@ -209,24 +218,27 @@ class Lattices:
         length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         end = np.cumsum(length)
         left = np.repeat(end, length) - np.arange(len(chars))  # characters from here to the word's end
-        rows: list[np.ndarray] = []
+        ids = np.full((min(v.longest, 12), len(chars)), -1, dtype=np.int32)
         at, node = np.arange(len(chars)), np.zeros(len(chars), dtype=np.int64)
-        while len(at):
-            k = len(rows)
+        height = 1
+        for k in range(v.longest):
             node = v.step(node, chars[at + k])
             alive = node >= 0
             at, node = at[alive], node[alive]
-            ids = np.full(len(chars), -1, dtype=np.int32)
-            ids[at] = v.piece[node]
-            rows.append(ids)
+            piece = v.piece[node]
+            if k == len(ids):
+                ids = np.vstack([ids, np.full((12, len(chars)), -1, dtype=np.int32)])
+            ids[k, at] = piece
+            if (piece >= 0).any():
+                height = k + 1
             more = left[at] > k + 1
             at, node = at[more], node[more]
-        spelt = rows[0] < 0  # no piece is this character alone
-        rows[0][spelt] = v.size
+            if not len(at):
+                break
+        ids = ids[:height]
+        spelt = ids[0] < 0  # no piece is this character alone
+        ids[0][spelt] = v.size
         utf8 = np.where(chars < 0x80, 1, np.where(chars < 0x800, 2, np.where((chars < 0x10000) | (chars == _OWN_MARK), 3, 4)))
-        while len(rows) > 1 and not (rows[-1] >= 0).any():
-            rows.pop()
-        ids = np.stack(rows)
         share = self._shares(ids, left)
         if share is None:  # long or rare words: some product left the range of doubles
             share = np.empty(ids.shape)
@@ -258,8 +270,7 @@ class Lattices:
 
     def _shares(self, ids: np.ndarray, left: np.ndarray) -> np.ndarray | None:
         """``share`` by sums of products from the words' ends; None if a sum leaves the range."""
-        chance = self.v.chance[ids]
-        chance[ids < 0] = 0.0
+        chance = self.v.chance[ids]  # 0 for -1 and for characters in bytes
         height = len(ids)
         beta = np.ones(ids.shape[1] + height)
         order = np.argsort(left, kind="stable")
@@ -346,27 +357,31 @@ class Lattices:
         """
         height = self.share.shape[0]
         node, end = int(self.first[kind]), int(self.first[kind] + self.length[kind])
-        still = [list(p) for p in not_these]
+        still = [(p, [self.log_of(e) for e in p]) for p in not_these]
         log, edges = 0.0, []
         while node < end:
             step = len(edges)
-            share = self.share[:, node]
-            chance = np.diff(share, prepend=0.0)
-            free = chance.copy()
-            for p in still:
-                free[p[step] % height] -= np.exp(sum(self.log_of(e) for e in p[step:]))
-            free = np.where(self.ids[:, node] >= 0, np.maximum(free, 0.0), 0.0)
-            if free.sum() <= 0:
-                free = np.where(self.ids[:, node] >= 0, chance, 0.0)
-            at = np.cumsum(free)
-            k = min(int(np.searchsorted(at, next(uniforms) * at[-1], side="right")), height - 1)
-            while self.ids[k, node] < 0:
-                k -= 1
-            edge = node * height + k
-            still = [p for p in still if p[step] == edge]
-            log += float(np.log(max(chance[k], 1e-300)))
+            share, ids = self.share[:, node].tolist(), self.ids[:, node].tolist()
+            chance = [b - a for a, b in zip([0.0, *share], share, strict=False)]
+            free = [c if i >= 0 else 0.0 for c, i in zip(chance, ids, strict=True)]
+            for p, logs in still:
+                k = p[step] % height
+                free[k] = max(free[k] - math.exp(sum(logs[step:])), 0.0)
+            if sum(free) <= 0:
+                free = [c if i >= 0 else 0.0 for c, i in zip(chance, ids, strict=True)]
+            u = next(uniforms) * sum(free)
+            pick = 0
+            for k, f in enumerate(free):
+                if f > 0:
+                    pick = k
+                    u -= f
+                    if u < 0:
+                        break
+            edge = node * height + pick
+            still = [x for x in still if x[0][step] == edge]
+            log += math.log(max(chance[pick], 1e-300))
             edges.append(edge)
-            node += k + 1
+            node += pick + 1
         return log, edges
 
     def log_of(self, edge: int) -> float:
