@@ -207,3 +207,8 @@ def join_spans(spans: Column) -> Column:
         ),
         ",",
     )
+
+
+def count_where(spans: str, field: str, value: str) -> Column:
+    """How many structs of an array have that value in a field."""
+    return F.size(F.filter(spans, lambda s: s[field] == value)).cast("long")

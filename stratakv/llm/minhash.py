@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,8 +115,7 @@ def dart_signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n
     best = np.full(n * k, np.uint64(0xFFFFFFFFFFFFFFFF))
     total = np.bincount(text, weights=weight, minlength=n)
     limit = np.divide(k * np.log(k) + 2 * k, total, out=np.zeros(n), where=total > 0)
-    top = limit.max(initial=0.0) * 64
-    bits = np.uint64(seed)
+    salt = np.uint64((seed * int(_GOLD)) % 2**64)
     # strips: (element row, lower bound, width)
     strips, low, width = [np.arange(len(text))], [np.zeros(len(text))], [np.ones(len(text))]
     bound = 1.0
@@ -129,7 +128,7 @@ def dart_signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n
         width.append(np.full(len(rows), bound))
         bound *= 2
     strip, low, width = np.concatenate(strips), np.concatenate(low), np.concatenate(width)
-    key = mix(element[strip] ^ mix(np.log2(low + 1).astype(np.uint64) + bits * _GOLD))
+    key = mix(element[strip] ^ mix(np.log2(low + 1).astype(np.uint64) + salt))
     time = np.zeros(len(strip))
     number = np.zeros(len(strip), dtype=np.uint64)
     todo = np.arange(len(strip))

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_spans, materialize, text_or_empty, with_spans
+from .common import count_where, join_spans, materialize, text_or_empty, with_spans
 
 # The patterns of the base kinds. Quantifiers are possessive and a match starts at
 # the end of the last one or where no character of its first class stands before, so that no text
@@ -295,8 +295,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit: F
             & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
         ),
     )
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return judged.select(F.col("id").alias(id_col), *count, "base", F.concat("base", "added").alias("found"))
+    counts = [count_where("base", "kind", k).alias(f"n_{k}") for k in BASE]
+    return judged.select(F.col("id").alias(id_col), *counts, "base", F.concat("base", "added").alias("found"))
 
 
 def contract(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, join_spans, materialize, text_or_empty, with_spans
+from .common import count_where, join_spans, materialize, text_or_empty, with_spans
 
 # The patterns of the base kinds, with possessive quantifiers wherever what follows
 # can't start with a character of the class, so that no text makes them backtrack.
@@ -30,7 +30,7 @@ EXTRA = {
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
     "vendor": r"(?:gh[opusr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|[rs]k_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{30,}+)",
     "basic": r"://[^\s:/@]{1,64}+:[^\s:/@]{6,64}+@",
-    "random": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}+",
+    "random": r"(?<![A-Za-z0-9+/_=-])(?!gh[opusr]_|eyJ|AIza|[rs]k_live_|xox)[A-Za-z0-9+/_-]{32,}+",
 }
 #: The part of an assignment that is the value.
 ASSIGNED = r"""[:=]\x20*+["']?+([A-Za-z0-9+/_.=-]++)$"""
@@ -145,17 +145,17 @@ def scan(
             | ((s["class"] == "live") & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))),
         ),
     )
-    count = {k: F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE}
-    return out.select(F.col("id").alias(id_col), *count.values(), "base", "found")
+    counts = [count_where("base", "kind", k).alias(f"n_{k}") for k in BASE]
+    return out.select(F.col("id").alias(id_col), *counts, "base", "found")
 
 
 def contract(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The digest columns of ``scan``'s result, with counts of live and example values."""
-    by_class = {k: F.size(F.filter("found", lambda s, k=k: s["class"] == k)).cast("long").alias(f"n_{k}") for k in ("live", "example")}
+    by_class = [count_where("found", "class", k).alias(f"n_{k}") for k in ("live", "example")]
     return found.select(
         id_col,
         *(f"n_{k}" for k in BASE),
         F.sha2(join_spans(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         join_spans(F.col("found")).alias("spans"),
-        *by_class.values(),
+        *by_class,
     )
