@@ -316,5 +316,4 @@ def contract(found: DataFrame) -> DataFrame:
         "n_items",
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         "contaminated",
-        "longest_match",
     )

@@ -128,7 +128,7 @@ def dart_signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n
         width.append(np.full(len(rows), bound))
         bound *= 2
     strip, low, width = np.concatenate(strips), np.concatenate(low), np.concatenate(width)
-    key = mix(element[strip] ^ mix(np.log2(low + 1).astype(np.uint64) + salt))
+    key = mix(element[strip] ^ mix(np.where(low > 0, np.log2(np.maximum(low, 1)) + 1, 0).astype(np.uint64) + salt))
     time = np.zeros(len(strip))
     number = np.zeros(len(strip), dtype=np.uint64)
     todo = np.arange(len(strip))

@@ -38,7 +38,7 @@ SCALE = 2.5
 #: Texts of a batch are handled in runs of about so many characters (about 150 bytes each).
 RUN_CHARS = 1_000_000
 #: Word types whose lattices a worker keeps; beyond it starts anew.
-KEPT_TYPES = 100_000
+KEPT_TYPES = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,7 +50,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def uniform(key: np.ndarray, counter: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from a key and a counter."""
-    h = mix(mix(key + counter * _GOLD) ^ key)
+    h = mix(key + counter * _GOLD)
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
@@ -179,8 +179,9 @@ class Vocabulary:
 class Lattices:
     """Lattices of word types: for each node and length the chance of that piece from there on.
 
-    ``share[l - 1, node]`` is the cumulated chance of pieces of at most l characters, given the
-    node; ``ids[l - 1, node]`` is the piece (-1: none; vocabulary size: the character in bytes).
+    ``share[node, l - 1]`` is the cumulated chance of pieces of at most l characters, given the
+    node (of no meaning beyond the word's end); ``ids[node, l - 1]`` is the piece (-1: none;
+    vocabulary size: the character in bytes). Columns grow in place within their capacity.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -189,11 +190,12 @@ class Lattices:
 
     def clear(self) -> None:
         self.types: dict[str, int] = {}
+        self.used = 0
         self.first = np.zeros(0, dtype=np.int64)
         self.length = np.zeros(0, dtype=np.int64)
         self.chars = np.zeros(0, dtype=np.uint32)
-        self.share = np.zeros((0, 0))
-        self.ids = np.zeros((0, 0), dtype=np.int32)
+        self.share = np.zeros((0, 12))
+        self.ids = np.zeros((0, 12), dtype=np.int32)
 
     def of(self, words: list[str]) -> np.ndarray:
         """The type number of each word; new types are added."""
@@ -248,19 +250,26 @@ class Lattices:
             log[ids[:, hard] < 0] = -np.inf
             log[0][spelt[hard]] = v.byte_log * utf8[hard & spelt]
             share[:, hard] = self._log_shares(log, left[hard])
-        height = max(len(self.ids), len(ids))
-
-        def join(old: np.ndarray, new: np.ndarray, fill) -> np.ndarray:
-            out = np.full((height, old.shape[1] + new.shape[1]), fill, dtype=new.dtype)
-            out[: len(old), : old.shape[1]] = old
-            out[: len(new), old.shape[1] :] = new
-            return out
-
-        base = len(self.chars)
-        self.first = np.concatenate([self.first, base + end - length])
+        self._append(chars, share, ids)
+        self.first = np.concatenate([self.first, self.used + end - length])
         self.length = np.concatenate([self.length, length])
-        self.chars = np.concatenate([self.chars, chars])
-        self.share, self.ids = join(self.share, share, 1.0), join(self.ids, ids, -1)
+        self.used += len(chars)
+
+    def _append(self, chars: np.ndarray, share: np.ndarray, ids: np.ndarray) -> None:
+        a, b = self.used, self.used + len(chars)
+        capacity, height = self.share.shape
+        if b > capacity or len(ids) > height:
+            capacity, height = (max(2 * capacity, b) if b > capacity else capacity), max(height, len(ids))
+            for name, fill in (("share", 1.0), ("ids", -1)):
+                old = getattr(self, name)
+                new = np.empty((capacity, height), dtype=old.dtype)
+                new[:a, : old.shape[1]] = old[:a]
+                new[:a, old.shape[1] :] = fill
+                setattr(self, name, new)
+            self.chars = np.concatenate([self.chars[:a], np.empty(capacity - a, dtype=np.uint32)])
+        self.chars[a:b] = chars
+        self.share[a:b, : len(share)], self.share[a:b, len(share) :] = share.T, 1.0
+        self.ids[a:b, : len(ids)], self.ids[a:b, len(ids) :] = ids.T, -1
 
     @staticmethod
     def _hard(length: np.ndarray, spelt: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -286,12 +295,9 @@ class Lattices:
                 sums += value
                 chance[k, nodes] = sums
             beta[nodes] = total[nodes] = sums
-            for k in range(min(d, height), height):
-                chance[k, nodes] = sums
         if not (np.isfinite(total).all() and (total > 1e-280).all() and (total < 1e280).all()):
             return None
         chance /= total
-        chance[-1] = 1.0
         return chance
 
     @staticmethod
@@ -313,7 +319,6 @@ class Lattices:
             beta[nodes] = top + np.log(value[-1])
             share[:width, nodes] = value / value[-1]
             share[width:, nodes] = 1.0
-        share[-1] = 1.0
         return share
 
     def draw(self, types: np.ndarray, uniforms) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -326,23 +331,25 @@ class Lattices:
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         which = np.arange(len(types))
         node, rest = self.first[types], self.length[types]
-        height = self.share.shape[0]
+        height = self.share.shape[1]
+        share = self.share.reshape(-1)
         while len(which):
             u = uniforms(which, len(steps))
-            length = np.zeros(len(which), dtype=np.int64)
-            open_ = np.arange(len(which))
-            low = np.zeros(len(which))
-            for k in range(height):
-                high = self.share[k, node[open_]]
+            edge = node * height
+            high = share[edge]
+            chance = high.copy()
+            open_ = np.flatnonzero(u >= high)
+            low, at = high[open_], edge[open_]
+            while len(open_):
+                at += 1
+                high = share[at]
                 over = u[open_] >= high
-                done = open_[~over]
-                length[done] = k
-                log[which[done]] += np.log(np.maximum(high[~over] - low[done], 1e-300))
-                open_ = open_[over]
-                if not len(open_):
-                    break
-                low[open_] = high[over]
-            steps.append((which, node * height + length))
+                chance[open_] = high - low
+                edge[open_] = at
+                open_, low, at = open_[over], high[over], at[over]
+            log[which] += np.log(np.maximum(chance, 1e-300))
+            length = edge - node * height
+            steps.append((which, edge))
             count[which] += 1
             rest = rest - length - 1
             node = node + length + 1
@@ -355,13 +362,13 @@ class Lattices:
 
         At each node the chances of the excluded continuations are taken out of their edges.
         """
-        height = self.share.shape[0]
+        height = self.share.shape[1]
         node, end = int(self.first[kind]), int(self.first[kind] + self.length[kind])
         still = [(p, [self.log_of(e) for e in p]) for p in not_these]
         log, edges = 0.0, []
         while node < end:
             step = len(edges)
-            share, ids = self.share[:, node].tolist(), self.ids[:, node].tolist()
+            share, ids = self.share[node].tolist(), self.ids[node].tolist()
             chance = [b - a for a, b in zip([0.0, *share], share, strict=False)]
             free = [c if i >= 0 else 0.0 for c, i in zip(chance, ids, strict=True)]
             for p, logs in still:
@@ -385,21 +392,18 @@ class Lattices:
         return log, edges
 
     def log_of(self, edge: int) -> float:
-        height = self.share.shape[0]
-        node, k = divmod(edge, height)
-        low = self.share[k - 1, node] if k else 0.0
-        return float(np.log(max(self.share[k, node] - low, 1e-300)))
+        node, k = divmod(edge, self.share.shape[1])
+        low = self.share[node, k - 1] if k else 0.0
+        return math.log(max(float(self.share[node, k] - low), 1e-300))
 
     def tokens(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of edges, and how many each edge has (characters in bytes have several)."""
-        height = self.share.shape[0]
-        node, k = edges // height, edges % height
-        ids = self.ids[k, node].astype(np.int64)
+        ids = self.ids.reshape(-1)[edges].astype(np.int64)
         n = np.ones(len(ids), dtype=np.int64)
         bytewise = np.flatnonzero(ids == self.v.size)
         if not len(bytewise):
             return ids, n
-        spelt = [chr(SPACE if c == _OWN_MARK else c).encode("utf-8", "surrogatepass") for c in self.chars[node[bytewise]].tolist()]
+        spelt = [chr(SPACE if c == _OWN_MARK else c).encode("utf-8", "surrogatepass") for c in self.chars[edges[bytewise] // self.share.shape[1]].tolist()]
         n[bytewise] = [len(b) for b in spelt]
         out = np.repeat(ids, n)
         first = np.cumsum(n) - n
@@ -419,17 +423,6 @@ class Sample:
     perturbed: np.ndarray
 
 
-def _path(steps: list[tuple[np.ndarray, np.ndarray]], which: int) -> list[int]:
-    """The edges of one word in the steps of ``draw``."""
-    out = []
-    for words, edges in steps:
-        at = int(np.searchsorted(words, which))
-        if at == len(words) or words[at] != which:
-            break
-        out.append(int(edges[at]))
-    return out
-
-
 def sample_run(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> tuple[list[Sample], np.ndarray]:
     """The top k perturbed segmentations of each text, and the bound below them.
 
@@ -453,8 +446,7 @@ def sample_run(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -
     def counter(rank: int, kind: int, at: np.ndarray, step: int = 0) -> np.ndarray:
         return (np.uint64(rank * 4 + kind) << np.uint64(54)) ^ (at.astype(np.uint64) << np.uint64(18)) ^ np.uint64(step & 0x3FFFF)
 
-    zero = np.zeros(len(texts), dtype=np.uint64)
-    root = -np.log(-np.log(uniform(keys, zero + np.uint64(7))))
+    root = -np.log(-np.log(uniform(keys, np.full(len(texts), 2**63, dtype=np.uint64))))
     # sets of segmentations, per text: (bound, rank of the sample whose prefix it shares, word, excluded)
     sets: list[list[tuple[float, int, int]]] = [[] for _ in texts]
     excluded: dict[tuple[int, int, int], list[list[int]]] = {}
@@ -476,10 +468,12 @@ def sample_run(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -
         log = np.zeros(len(types))
         log[at] = log_at
         special: dict[int, list[int]] = {}
+        taken: list[tuple[dict, np.ndarray]] = []
         if rank:
             for parent in range(rank):
-                from_ = live_word & (branch_rank[text_of] == parent) & (place < branch_word[text_of])
+                from_ = np.flatnonzero(live_word & (branch_rank[text_of] == parent) & (place < branch_word[text_of]))
                 log[from_] = drawn[parent]["log"][from_]
+                taken.append((drawn[parent], from_))
             first_draws = uniform(keys[:, None], np.stack([counter(rank, 1, branch_word, s) for s in range(8)], axis=1))
             for t in np.flatnonzero(alive).tolist():
                 w = int(start[t] + branch_word[t])
@@ -489,10 +483,10 @@ def sample_run(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -
                     (float(uniform(keys[t : t + 1], counter(rank, 1, one, s))[0]) for s in range(8, 1 << 18)),
                 )
                 log[w], special[w] = lattices.other(int(types[w]), excluded[t, int(branch_rank[t]), int(branch_word[t])], draws)
-        new = {"log": log, "at": at, "steps": steps, "count": count_at, "special": special, "from": branch_rank.copy(), "branch": branch_word.copy()}
+        new = {"log": log} | _assemble(at, steps, count_at, special, taken, len(types))
         drawn.append(new)
         total = np.bincount(text_of, weights=log, minlength=len(texts))
-        ids, offsets = _assemble(lattices, drawn, rank, text_of, place, alive, len(types))
+        ids, offsets = _ids(lattices, new, text_of, len(texts))
         out.append(Sample(alive.copy(), ids, offsets, total, bound.copy()))
         # split what is left of the popped set by the first word that differs
         before = np.cumsum(log) - log
@@ -516,7 +510,7 @@ def sample_run(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -
             for w in hit[first].tolist():
                 t = int(text_of[w])
                 sets[t].append((float(g[w]), rank, int(place[w])))
-                excluded[t, rank, int(place[w])] = [_edges(new, w)]
+                excluded[t, rank, int(place[w])] = [new["edges"][new["first"][w] : new["first"][w] + new["count"][w]].tolist()]
             g[hit[first]] = -np.inf
             some = text_of[hit[first]]
         for t in np.flatnonzero(alive).tolist() if rank else []:  # the popped set without this choice too
@@ -553,42 +547,36 @@ def _spread(top: np.ndarray, some: np.ndarray, text_of: np.ndarray, n: int) -> n
     return full[text_of]
 
 
-def _edges(sample: dict, word: int) -> list[int]:
-    if word in sample["special"]:
-        return sample["special"][word]
-    return _path(sample["steps"], int(np.searchsorted(sample["at"], word)))
-
-
-def _assemble(lattices: Lattices, drawn: list[dict], rank: int, text_of, place, alive, n_types: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words of the live texts in order, and the offsets of each text."""
-    owner = np.full(n_types, rank)
-    live = alive[text_of]
-    for r in range(rank, 0, -1):  # words before the branching one are the parent's, and so on up
-        mine = live & (owner == r) & (place < drawn[r]["branch"][text_of])
-        owner[mine] = drawn[r]["from"][text_of[mine]]
-    count = np.zeros(n_types, dtype=np.int64)
-    for r in range(rank + 1):
-        d = drawn[r]
-        take = live[d["at"]] & (owner[d["at"]] == r)
-        count[d["at"][take]] = d["count"][take]
-        for w, edges in d["special"].items():
-            if live[w] and owner[w] == r:
-                count[w] = len(edges)
+def _assemble(at: np.ndarray, steps, count_at: np.ndarray, special: dict[int, list[int]], taken: list[tuple[dict, np.ndarray]], n_words: int) -> dict:
+    """A sample's edges word by word: drawn words, branching words, and words taken from parents."""
+    count = np.zeros(n_words, dtype=np.int64)
+    count[at] = count_at
+    for w, own in special.items():
+        count[w] = len(own)
+    for parent, words in taken:
+        count[words] = parent["count"][words]
     first = np.cumsum(count) - count
     edges = np.zeros(int(count.sum()), dtype=np.int64)
-    for r in range(rank + 1):
-        d = drawn[r]
-        take = live[d["at"]] & (owner[d["at"]] == r)
-        for step, (which, e) in enumerate(d["steps"]):
-            mine = take[which]
-            edges[first[d["at"][which[mine]]] + step] = e[mine]
-        for w, own in d["special"].items():
-            if live[w] and owner[w] == r:
-                edges[first[w] : first[w] + len(own)] = own
-    ids, n = lattices.tokens(edges)
-    per_word = np.bincount(np.repeat(np.arange(n_types), count), weights=n, minlength=n_types) if len(n) else np.zeros(n_types)
-    per_text = np.bincount(text_of, weights=per_word, minlength=len(alive)).astype(np.int64)
-    return ids, np.concatenate([[0], np.cumsum(per_text)])
+    place = first[at]
+    for step, (which, e) in enumerate(steps):
+        edges[place[which] + step] = e
+    for w, own in special.items():
+        edges[first[w] : first[w] + len(own)] = own
+    for parent, words in taken:
+        n = count[words]
+        ramp = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        edges[np.repeat(first[words], n) + ramp] = parent["edges"][np.repeat(parent["first"][words], n) + ramp]
+    return {"edges": edges, "first": first, "count": count}
+
+
+def _ids(lattices: Lattices, sample: dict, text_of: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all texts in order, and the offsets of each text."""
+    ids, n = lattices.tokens(sample["edges"])
+    ends = np.concatenate([[0], np.cumsum(n)]) if len(ids) != len(sample["edges"]) else np.arange(len(ids) + 1)
+    words = np.bincount(text_of, minlength=n_texts)
+    stop = np.cumsum(words)
+    upto = np.concatenate([sample["first"], [len(sample["edges"])]])  # edges before each word
+    return ids, np.concatenate([[0], ends[upto[stop]]])
 
 
 def row_keys(keys: list, seed: int) -> np.ndarray:
