@@ -155,7 +155,8 @@ def timeuuid_ticks(u: Column) -> Column:
 
 
 def timeuuid_millis(u: Column) -> Column:
-    return F.floor((timeuuid_ticks(u) - F.lit(GREGORIAN)) / 10000).cast("long")
+    ticks = timeuuid_ticks(u) - F.lit(GREGORIAN)
+    return ((ticks - F.pmod(ticks, F.lit(10000))) / 10000).cast("long")  # exact: a multiple of 16 below 2^57
 
 
 def timeuuid_timestamp(u: Column) -> Column:

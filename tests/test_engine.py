@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,8 +173,10 @@ def test_scalars(spark):
         assert get(scalar.blob_as(scalar.as_blob(lit(x, {"text": "string"}.get(kind, kind)), kind), kind)) == x
     assert get(scalar.analyzed(F.lit("Ünï"), False, True, True)) == "uni"
     u = "d2177dd0-eaa2-11de-a572-001b779c76e3"
-    assert get(scalar.timeuuid_timestamp(F.lit(u))) == dt.datetime(2009, 12, 16, 22, 24, 37, 645000)
-    lo, hi = get(scalar.timeuuid_bound(F.lit(1260999877645).cast("long"), False)), get(scalar.timeuuid_bound(F.lit(1260999877645).cast("long"), True))
+    ms = (uuid.UUID(u).time - scalar.GREGORIAN) // 10000
+    assert get(scalar.timeuuid_millis(F.lit(u))) == ms
+    assert get(scalar.timeuuid_timestamp(F.lit(u))) == dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=ms)
+    lo, hi = (get(scalar.timeuuid_bound(F.lit(ms).cast("long"), largest)) for largest in (False, True))
     assert get(scalar.timeuuid_ticks(F.lit(lo))) <= get(scalar.timeuuid_ticks(F.lit(u))) <= get(scalar.timeuuid_ticks(F.lit(hi)))
 
 

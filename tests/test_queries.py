@@ -5,7 +5,7 @@ import datetime as dt
 import duckdb
 import pytest
 
-from stratakv import queries
+from stratakv import queries, queries_more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
