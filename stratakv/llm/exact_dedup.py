@@ -36,6 +36,8 @@ class DedupState:
         self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         self.spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
         self.spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
+        # else each of many small stores takes several MB of disk for its log in advance
+        self.spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
         partitions = spark.conf.get("spark.sql.shuffle.partitions")
         self.spark.conf.set("spark.sql.shuffle.partitions", partitions)
         self.schema, self.files = schema, files_per_trigger
