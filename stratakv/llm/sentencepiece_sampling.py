@@ -54,6 +54,28 @@ def uniform(key: np.ndarray, counter: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+_OTHER, _WORD, _GAP, _LINE = 0, 1, 2, 3
+
+
+def _class_of(code: int) -> int:
+    """Class of a character: letter, digit or underscore; space; line end; other."""
+    c = chr(code)
+    return _WORD if c.isalnum() or c == "_" else _GAP if c == " " else _LINE if c == "\n" else _OTHER
+
+
+_CLASS_TABLE = np.array([_class_of(i) for i in range(0x3000)], dtype=np.uint8)
+
+
+def classes(codes: np.ndarray) -> np.ndarray:
+    """The class of each character code."""
+    far = codes >= len(_CLASS_TABLE)
+    out = _CLASS_TABLE[np.where(far, 0, codes)]
+    if far.any():
+        some, which = np.unique(codes[far], return_inverse=True)
+        out[far] = np.array([_class_of(int(c)) for c in some], dtype=np.uint8)[which]
+    return out
+
+
 class Vocabulary:
     """Pieces with log-probabilities, as a trie in a hash table, and bytes for decoding.
 
@@ -101,28 +123,28 @@ class Vocabulary:
         mark = chr(SPACE)
         if any(re.search(f"[^{mark}]{mark}|\n", p) for p in inner):
             raise ValueError("a piece reaches across a space or a line end")
-        self.words = re.compile(self._cuts(inner, mark))
+        across = {(ord(a) << 21) | ord(b) for p in inner for a, b in zip(p, p[1:]) if _class_of(ord(a)) == _WORD and _class_of(ord(b)) == _OTHER}
+        self.across = np.array(sorted(across), dtype=np.uint64)
         self._build([(p, i) for p, i in zip(inner, normal, strict=True)])
 
-    @staticmethod
-    def _cuts(pieces: list[str], mark: str) -> str:
-        """A pattern of words such that no piece reaches from one into the next.
+    def word_starts(self, codes: np.ndarray) -> np.ndarray:
+        """Whether a word starts at each character, such that no piece reaches from one word into the next.
 
-        Words end before spaces and, after letters and digits, before any other character, unless
-        some piece has just these two next to each other.
+        Words end before spaces, around line ends and, after letters and digits, before any other
+        character, unless some piece has just these two next to each other.
         """
-        across: dict[str, set[str]] = {}
-        for p in pieces:
-            for a, b in zip(p, p[1:]):
-                if re.match(r"\w", a) and b != mark and not re.match(r"\w", b):
-                    across.setdefault(b, set()).add(a)
-        after: dict[str, str] = {}
-        for b, a in sorted(across.items()):
-            a = re.escape("".join(sorted(a)))
-            after[a] = after.get(a, "") + re.escape(b)
-        pairs = "|".join(f"(?<=[{a}])[{b}]" for a, b in after.items())
-        more = rf"(?:(?:{pairs})[^\w \n]*\w*)*" if pairs else ""
-        return rf" *[^\w \n]*\w+{more}| *[^\w \n]+| +|\n"
+        kind = classes(codes)
+        before, here = kind[:-1], kind[1:]
+        out = np.ones(len(codes), dtype=bool)
+        turn = (before == _WORD) & (here == _OTHER)
+        at = np.flatnonzero(turn)
+        pair = (codes[at].astype(np.uint64) << np.uint64(21)) | codes[at + 1].astype(np.uint64)
+        where = np.searchsorted(self.across, pair)
+        where[where == len(self.across)] = 0
+        if len(self.across):
+            turn[at[self.across[where] == pair]] = False
+        out[1:] = turn | (here == _LINE) | (before == _LINE) | ((here == _GAP) & (before != _GAP))
+        return out
 
     def _build(self, pieces: list[tuple[str, int]]) -> None:
         """The trie: (node, character) -> node in an open-addressed table, and each node's piece."""
@@ -189,35 +211,77 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.types: dict[str, int] = {}
         self.used = 0
         self.first = np.zeros(0, dtype=np.int64)
         self.length = np.zeros(0, dtype=np.int64)
-        self.chars = np.zeros(0, dtype=np.uint32)
-        self.share = np.zeros((0, 12))
-        self.ids = np.zeros((0, 12), dtype=np.int32)
+        if not hasattr(self, "share"):  # what has grown stays as room for the next types
+            self.chars = np.zeros(0, dtype=np.uint32)
+            self.share = np.zeros((0, 12))
+            self.ids = np.zeros((0, 12), dtype=np.int32)
+        self.bits = max(8, (4 * KEPT_TYPES).bit_length())
+        self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
+        self.values = np.full(1 << self.bits, -1, dtype=np.int32)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The type of each key in the table; -1 if there is none."""
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = np.full(len(keys), -1, dtype=np.int64)
+        open_ = np.arange(len(keys))
+        while len(open_):
+            at = slot[open_]
+            value = self.values[at]
+            hit = (self.keys[at] == keys[open_]) & (value >= 0)
+            out[open_[hit]] = value[hit]
+            open_ = open_[~hit & (value >= 0)]
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+        return out
 
-    def of(self, words: list[str]) -> np.ndarray:
-        """The type number of each word; new types are added."""
-        if len(self.types) > KEPT_TYPES:
+    def _keep(self, keys: np.ndarray, types: np.ndarray) -> None:
+        """Puts distinct new keys into the table."""
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        open_ = np.arange(len(keys))
+        while len(open_):
+            free = open_[self.values[slot[open_]] < 0]
+            taken = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[taken]], self.values[slot[taken]] = keys[taken], types[taken]
+            done = np.zeros(len(keys), dtype=bool)
+            done[taken] = True
+            open_ = open_[~done[open_]]
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+
+    def of(self, codes: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The type number of each word of a run of characters; new types are added.
+
+        Words are looked up by a hash of their characters and then compared in full.
+        """
+        if len(self.length) > KEPT_TYPES:
             self.clear()
-        known = self.types
-        out = np.fromiter(map(known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        missing = np.flatnonzero(out < 0).tolist()
-        if missing:
-            rare = [words[i] for i in missing]
-            new = list(dict.fromkeys(rare))
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            self._add(new)
-            out[missing] = np.fromiter(map(known.__getitem__, rare), dtype=np.int64, count=len(rare))
+        length = np.diff(np.append(start, len(codes)))
+        keys = word_hashes(codes, start, length)
+        out = self._find(keys)
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new, first, which = np.unique(keys[missing], return_index=True, return_inverse=True)
+            base = len(self.length)
+            self._add_words(codes, start, length, missing[first])
+            types = np.arange(base, base + len(new))
+            self._keep(new, types)
+            out[missing] = types[which]
+        stored = self.chars[np.repeat(self.first[out] - start, length) + np.arange(len(codes))]
+        wrong = np.flatnonzero(stored != codes)
+        if len(wrong):  # two words of one hash, or of other lengths: such words get types of their own
+            words = np.unique(np.searchsorted(start, wrong, side="right") - 1)
+            base = len(self.length)
+            self._add_words(codes, start, length, words)
+            out[words] = np.arange(base, base + len(words))
         return out
 
-    def _add(self, words: list[str]) -> None:
+    def _add_words(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray, words: np.ndarray) -> None:
+        n = length[words]
+        self._add(codes[np.repeat(start[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n)
+
+    def _add(self, chars: np.ndarray, length: np.ndarray) -> None:
         v = self.v
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
-        chars[chars == SPACE] = _OWN_MARK
-        chars[chars == 0x20] = SPACE
-        length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         end = np.cumsum(length)
         left = np.repeat(end, length) - np.arange(len(chars))  # characters from here to the word's end
         ids = np.full((min(v.longest, 12), len(chars)), -1, dtype=np.int32)
@@ -288,12 +352,13 @@ class Lattices:
         for d in range(1, len(cut)):
             nodes = order[cut[d - 1] : cut[d]]
             sums = np.zeros(len(nodes))
-            for k in range(min(d, height)):
-                value = chance[k, nodes]
-                if k + 1 < d:
-                    value *= beta[nodes + k + 1]
-                sums += value
-                chance[k, nodes] = sums
+            with np.errstate(over="ignore", invalid="ignore"):
+                for k in range(min(d, height)):
+                    value = chance[k, nodes]
+                    if k + 1 < d:
+                        value *= beta[nodes + k + 1]
+                    sums += value
+                    chance[k, nodes] = sums
             beta[nodes] = total[nodes] = sums
         if not (np.isfinite(total).all() and (total > 1e-280).all() and (total < 1e280).all()):
             return None
@@ -412,6 +477,28 @@ class Lattices:
         return out, n
 
 
+_BASE = 0x9E3779B97F4A7C15 | 1
+_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the hash's base and of its inverse, mod 2^64, up to n."""
+    if len(_POWERS[0]) <= n:
+        for i, b in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            steps = np.full(2 * n + 2, np.uint64(b))
+            steps[0] = 1
+            _POWERS[i] = np.cumprod(steps)
+    return _POWERS
+
+
+def word_hashes(codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's characters: a polynomial from prefix sums, moved to the word's start."""
+    power, inverse = _powers(len(codes))
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)])])
+    h = (sums[start + length] - sums[start]) * inverse[start]
+    return mix(h + length.astype(np.uint64) * _GOLD)
+
+
 @dataclass
 class Sample:
     """Samples of one rank for the texts of a run that have one: ids of all texts end to end."""
@@ -430,15 +517,17 @@ def sample_run(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -
     log-probability (-inf if there is no such segmentation).
     """
     v = lattices.v
-    words: list[str] = []
-    n_words = np.zeros(len(texts), dtype=np.int64)
-    find = v.words.findall
-    for i, t in enumerate(texts):
-        if t:
-            own = find(" " + t)
-            n_words[i] = len(own)
-            words += own
-    types = lattices.of(words)
+    some_text = np.array([bool(t) for t in texts])
+    codes = np.frombuffer("".join(f" {t}" for t in texts if t).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + some_text
+    begins = np.cumsum(sizes) - sizes
+    starts = v.word_starts(codes) if len(codes) else np.zeros(0, dtype=bool)
+    starts[begins[some_text]] = True
+    word_at = np.flatnonzero(starts)
+    n_words = np.searchsorted(word_at, begins + sizes) - np.searchsorted(word_at, begins)
+    codes[codes == SPACE] = _OWN_MARK
+    codes[codes == 0x20] = SPACE
+    types = lattices.of(codes, word_at)
     start = np.cumsum(n_words) - n_words
     text_of = np.repeat(np.arange(len(texts)), n_words)
     place = np.arange(len(types)) - start[text_of]

