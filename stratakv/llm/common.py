@@ -17,8 +17,13 @@ from pyspark.sql import functions as F
 _WRITTEN: dict[str, SparkSession] = {}
 
 
+#: Rows of one Arrow batch: whole texts may be long, and a worker holds a batch or two at a time.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables."""
+    """One of the given tables; Arrow batches of the session are kept small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

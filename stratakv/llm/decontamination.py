@@ -29,7 +29,7 @@ WINDOW = 10
 #: Words of test items in a block (a block takes about 100 bytes a word in each worker).
 BLOCK_WORDS = 1_000_000
 #: Words of training text in a shard (about 60 bytes each while the shard is searched).
-SHARD_WORDS = 400_000
+SHARD_WORDS = 150_000
 
 #: Bytes of words: digits, letters in either case, all of UTF-8 beyond ASCII. Others separate.
 _FOLD = bytes(

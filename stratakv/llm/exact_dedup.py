@@ -1,6 +1,6 @@
 """Operator 7, exact dedup: stateful streaming deduplication over a disk-backed keyed state.
 
-The state (RocksDB, no watermark, so nothing ever expires) keeps for each digest the stable
+The state (Spark's disk-backed store, no watermark, so nothing ever expires) keeps for each digest the stable
 identifier and the content locator of the row that stays, and the number of rows. It takes in new
 files as they come and can be read as a table at any time. Where a digest is hit more than once,
 full texts are compared; digests that stand for several texts get keys that hold the whole text.
@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from .common import bounded_broadcast, materialize, scratch_path, text_or_empty
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Spark's class for state on disk; the settings below are its own.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 #: Largest number of keys (about 64 bytes each) that is broadcast; more are joined by sort-merge.
 BROADCAST_KEYS = 500_000
@@ -33,7 +34,7 @@ class DedupState:
 
     def __init__(self, spark: SparkSession, schema: T.StructType, at: str | None = None, files_per_trigger: int = 10_000):
         self.spark = spark.newSession()  # its settings don't touch the caller's
-        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
         self.spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
         self.spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
         # else each of many small stores takes several MB of disk for its log in advance

@@ -33,9 +33,9 @@ BROADCAST_KEYS = 500_000
 #: Shingles of one block of a bucket that is searched (8 bytes each).
 BLOCK_SHINGLES = 2_000_000
 #: Shingles handled at once while signatures are made.
-RUN_SHINGLES = 400_000
+RUN_SHINGLES = 150_000
 #: Word hashes that a worker remembers.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 
 
 @dataclass(frozen=True)

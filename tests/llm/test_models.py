@@ -307,3 +307,22 @@ def test_pipeline_stages(spark):
             docs = out
         ids = now
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == ids
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    for t in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Every stage takes nulls, empty and long texts, repeated rows and clashing columns."""
+    docs = frame(spark)
+    labels = spark.createDataFrame([(3, 1), (6, 0), (11, 1)], "doc_id long, quality int")
+    good = quality.keep_good(docs, labels)
+    assert good.schema == docs.schema and good.count() >= len(TEXTS) - 3
+    once = corpus_pipeline.exact_stage(spark, docs, "")
+    assert once.schema == docs.schema
+    single = corpus_pipeline.near_stage(spark, once, "")
+    assert single.schema == docs.schema
+    assert {r.doc_id for r in single.select("doc_id").collect()} >= {6, 7, 8, 9}
