@@ -8,15 +8,33 @@ stages before it.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: dict[str, SparkSession] = {}
 
 
+def give_back(batches):
+    """The batches of a worker's task; at its end, freed memory goes back to the system.
+
+    Workers are used again by later stages, whose memory would else come on top.
+    """
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 #: Rows of one Arrow batch: whole texts may be long, and a worker holds a batch or two at a time.
 BATCH_ROWS = 1000
 

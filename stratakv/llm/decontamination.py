@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, give_back
 
 #: Words of a window.
 WINDOW = 10
@@ -294,7 +294,7 @@ def contamination(
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *added.names])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lambda b: give_back(run(b)), schema)
 
 
 def remove_contaminated(docs: DataFrame, tests: DataFrame, **options) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_broadcast, materialize, text_or_empty
+from .common import bounded_broadcast, give_back, materialize, text_or_empty
 from .decontamination import split_words
 from .sentencepiece_sampling import mix, uniform
 
@@ -221,7 +221,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, how: Banding, weights: s
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists], names=["uid", "id", "node", "bands"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lambda b: give_back(run(b)), schema)
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -295,7 +295,7 @@ def _payload(docs: DataFrame, text_col: str, wanted: DataFrame, how: Banding, we
                 sets = [np.stack([element[i:j], weight[i:j].view(np.uint64)]).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(nids[a:b]), pa.array(sets, pa.binary())], names=["nid", "set"])
 
-    found = rows.mapInArrow(run, "nid long, set binary")
+    found = rows.mapInArrow(lambda b: give_back(run(b)), "nid long, set binary")
     return found.groupBy("nid").agg(F.first("set").alias("set"))
 
 
@@ -311,7 +311,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             keep = pa.array([_weighted_jaccard(x, y) >= similarity for x, y in zip(a, b, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(lambda b: give_back(run(b)), "a long, b long")
 
 
 def block_links(nid: np.ndarray, component: np.ndarray, query: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:

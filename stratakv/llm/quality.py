@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialize
+from .common import fresh, give_back, materialize
 
 _CLASSES = np.zeros((256, 6))
 for _b in range(256):
@@ -133,7 +133,7 @@ def _with_statistics(rows: DataFrame, text: str) -> DataFrame:
             stats = pa.array([statistics(t.as_py()) for t in texts], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), stats], names=[*kept, "stats"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lambda b: give_back(run(b)), schema)
 
 
 def _floats(column: pa.Array) -> np.ndarray:
@@ -277,7 +277,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: li
                 values = own.score(np.array([statistics(t.as_py()) for t in texts]))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(values, pa.float64())], names=[*names, score_col])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lambda b: give_back(run(b)), schema)
 
 
 def learnable(key: Column) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, give_back
 
 #: Where the public tokenizer files lie unless the caller says otherwise.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -36,9 +36,9 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Chances of pieces are carried as exp(log + SCALE x characters); only their ratios matter.
 SCALE = 2.5
 #: Texts of a batch are handled in runs of about so many characters (about 150 bytes each).
-RUN_CHARS = 500_000
+RUN_CHARS = 300_000
 #: Word types whose lattices a worker keeps; beyond it starts anew.
-KEPT_TYPES = 120_000
+KEPT_TYPES = 60_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -323,7 +323,7 @@ class Lattices:
         a, b = self.used, self.used + len(chars)
         capacity, height = self.share.shape
         if b > capacity or len(ids) > height:
-            capacity, height = (max(2 * capacity, b) if b > capacity else capacity), max(height, len(ids))
+            capacity, height = (max(capacity * 5 // 4, b) if b > capacity else capacity), max(height, len(ids))
             for name, fill in (("share", 1.0), ("ids", -1)):
                 old = getattr(self, name)
                 new = np.empty((capacity, height), dtype=old.dtype)
@@ -721,7 +721,7 @@ def encode(
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), found, equal], names=[*names, out_col, "round_trip"])
                 at = to
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lambda b: give_back(run(b)), schema)
 
 
 def _column(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> tuple[pa.Array, pa.Array]:
@@ -781,7 +781,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", model: str = MODEL, out_col: s
                 texts.append(spelt[1:] if spelt and spelt[0] == " " else spelt)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, out_col])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lambda b: give_back(run(b)), schema)
 
 
 def contract(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
