@@ -36,7 +36,7 @@ class DedupState:
         self.spark = spark.newSession()  # its settings don't touch the caller's
         self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
         self.spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-        self.spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
+        self.spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "64")
         # else each of many small stores takes several MB of disk for its log in advance
         self.spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
         partitions = spark.conf.get("spark.sql.shuffle.partitions")

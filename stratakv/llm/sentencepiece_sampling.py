@@ -36,9 +36,9 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Chances of pieces are carried as exp(log + SCALE x characters); only their ratios matter.
 SCALE = 2.5
 #: Texts of a batch are handled in runs of about so many characters (about 150 bytes each).
-RUN_CHARS = 300_000
+RUN_CHARS = 200_000
 #: Word types whose lattices a worker keeps; beyond it starts anew.
-KEPT_TYPES = 60_000
+KEPT_TYPES = 40_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
