@@ -18,7 +18,7 @@ import math
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import accumulate, chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -429,7 +429,8 @@ class Lattices:
         """
         height = self.share.shape[1]
         node, end = int(self.first[kind]), int(self.first[kind] + self.length[kind])
-        still = [(p, [self.log_of(e) for e in p]) for p in not_these]
+        # log chances of the excluded ones from each step to the word's end
+        still = [(p, list(accumulate(self.log_of(e) for e in reversed(p)))[::-1]) for p in not_these]
         log, edges = 0.0, []
         while node < end:
             step = len(edges)
@@ -438,7 +439,7 @@ class Lattices:
             free = [c if i >= 0 else 0.0 for c, i in zip(chance, ids, strict=True)]
             for p, logs in still:
                 k = p[step] % height
-                free[k] = max(free[k] - math.exp(sum(logs[step:])), 0.0)
+                free[k] = max(free[k] - math.exp(logs[step]), 0.0)
             if sum(free) <= 0:
                 free = [c if i >= 0 else 0.0 for c, i in zip(chance, ids, strict=True)]
             u = next(uniforms) * sum(free)
@@ -533,7 +534,9 @@ def sample_run(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -
     place = np.arange(len(types)) - start[text_of]
 
     def counter(rank: int, kind: int, at: np.ndarray, step: int = 0) -> np.ndarray:
-        return (np.uint64(rank * 4 + kind) << np.uint64(54)) ^ (at.astype(np.uint64) << np.uint64(18)) ^ np.uint64(step & 0x3FFFF)
+        packed = (np.uint64(rank * 4 + kind) << np.uint64(54)) ^ (at.astype(np.uint64) << np.uint64(18)) ^ np.uint64(step & 0x3FFFF)
+        # the packed field holds 2^18 steps; what is above it is hashed in, so no draw of a longer word repeats
+        return packed ^ mix(np.array([step >> 18], dtype=np.uint64))[0] if step >> 18 else packed
 
     root = -np.log(-np.log(uniform(keys, np.full(len(texts), 2**63, dtype=np.uint64))))
     # sets of segmentations, per text: (bound, rank of the sample whose prefix it shares, word, excluded)
@@ -569,7 +572,7 @@ def sample_run(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -
                 one = branch_word[t : t + 1]
                 draws = chain(
                     first_draws[t].tolist(),
-                    (float(uniform(keys[t : t + 1], counter(rank, 1, one, s))[0]) for s in range(8, 1 << 18)),
+                    (float(uniform(keys[t : t + 1], counter(rank, 1, one, s))[0]) for s in count(8)),
                 )
                 log[w], special[w] = lattices.other(int(types[w]), excluded[t, int(branch_rank[t]), int(branch_word[t])], draws)
         new = {"log": log} | _assemble(at, steps, count_at, special, taken, len(types))

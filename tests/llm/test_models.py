@@ -149,6 +149,24 @@ def lattices():
     return sampling.Lattices(sampling.Vocabulary())
 
 
+def test_one_word_of_more_than_2_18_tokens(lattices):
+    text = "ab" + "\U00010330" * ((1 << 18) + 9)  # ends in characters that only bytes spell
+    samples, bound = sampling.sample_run(lattices, [text], sampling.row_keys([7], 1), 2)
+    v, own = lattices.v, [s.ids[s.offsets[0] : s.offsets[1]].tolist() for s in samples]
+    assert own[0] != own[1] and samples[0].perturbed[0] >= samples[1].perturbed[0] >= bound[0]
+    tail = [int(v.byte_ids[b]) for b in text[2:].encode()]
+    assert all(ids[-len(tail) :] == tail and len(ids) > len(tail) for ids in own)
+
+
+def test_draws_do_not_repeat_after_2_18_steps(lattices, monkeypatch):
+    asked = []
+    monkeypatch.setattr(sampling, "uniform", lambda key, counter: asked.append(counter) or np.full(np.shape(counter), 0.5))
+    monkeypatch.setattr(lattices, "draw", lambda types, uniforms: [uniforms(np.array([0]), s) for s in (0, 1 << 18, 1 << 19)] and 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        sampling.sample_run(lattices, ["ab"], sampling.row_keys([7], 1), 1)
+    assert len({int(c[0]) for c in asked[-3:]}) == 3
+
+
 def all_segmentations(v, word):
     """Every segmentation of a word with its log-weight."""
     out = []
