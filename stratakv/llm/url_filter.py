@@ -43,7 +43,7 @@ GOOD = (
 #: Words that say nothing about a host.
 NEUTRAL = "www m blog com net org edu gov co uk example html php index page http https".split()
 
-#: Most words of the model: the most frequent of all urls; rarer ones count as unknown.
+#: Most words of a table that is broadcast; a larger one is joined. Results are the same.
 MAX_WORDS = 200_000
 #: Hosts whose words a worker remembers.
 CACHE = 50_000
@@ -68,13 +68,16 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 
 class Segmenter:
-    """Unigram Viterbi over host labels; unknown strings cost more the longer they are."""
+    """Unigram Viterbi over host labels; unknown strings cost more the longer they are.
+
+    ``total`` is the count of all words where ``counts`` holds only those that a label may need.
+    """
 
     LONGEST = 24
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int], total: int | None = None):
         self.counts = counts
-        self.total = sum(counts.values()) + 1
+        self.total = (sum(counts.values()) if total is None else total) + 1
         self.cache: OrderedDict[str, list[str]] = OrderedDict()
 
     def cost(self, word: str) -> float:
@@ -120,8 +123,16 @@ class Bayes:
 
     def __init__(self, words: dict[str, tuple[int, int]], rows: tuple[int, int]):
         sums = [sum(n[c] for n in words.values()) + len(words) + 1 for c in (0, 1)]
-        self.gain = {w: math.log((n[1] + 1) / sums[1]) - math.log((n[0] + 1) / sums[0]) for w, n in words.items()}
-        self.prior = math.log((rows[1] + 1) / (rows[0] + 1))
+        self.gain = {w: self.gain_of(n, sums) for w, n in words.items()}
+        self.prior = self.prior_of(rows)
+
+    @staticmethod
+    def gain_of(n: tuple[int, int], sums: Sequence[int]) -> float:
+        return math.log((n[1] + 1) / sums[1]) - math.log((n[0] + 1) / sums[0])
+
+    @staticmethod
+    def prior_of(rows: tuple[int, int]) -> float:
+        return math.log((rows[1] + 1) / (rows[0] + 1))
 
     def odds(self, words: list[str]) -> float:
         return self.prior + sum(self.gain.get(w, 0.0) for w in words)
@@ -131,32 +142,100 @@ def _lexicon() -> dict[str, int]:
     return {w: 1000 for w in [*BAD, *GOOD, *NEUTRAL]}
 
 
-def unigrams(parts: DataFrame) -> dict[str, int]:
-    """Counts of the parts between separators in all hosts and paths, the seed lexicon added."""
-    piece = F.explode(F.split(F.concat_ws(" ", "host", F.lower("path")), r"[\W_]+"))
-    counted = parts.select(piece.alias("w")).where("length(w) between 2 and 12 and w rlike '^[a-z]+$'").groupBy("w").count()
-    counts = _lexicon()
-    for row in counted.orderBy(F.desc("count"), "w").limit(MAX_WORDS).collect():
-        # a label that is a whole host name may itself be several words: it counts little
-        counts[row["w"]] = counts.get(row["w"], 0) + 1 + int(math.log1p(row["count"]))
-    return counts
+def unigrams(parts: DataFrame) -> DataFrame:
+    """(w, n): counts of the parts between separators in all hosts and paths, the seed lexicon added.
+
+    Parts of one letter say nothing, numbers are no words; words of every script and length count.
+    A label that is a whole host name may itself be several words: counts are damped, and a label
+    of more than 12 letters counts only where it is a part of a path, else it would never be split.
+    """
+    between = r"[^\p{L}\p{N}]+"
+    labels = F.filter(F.split("host", between), lambda w: F.char_length(w) <= 12)
+    piece = F.explode(F.concat(labels, F.split(F.lower("path"), between)))
+    counted = parts.select(piece.alias("w")).where(r"char_length(w) > 1 and w rlike '^\\p{L}+$'").groupBy("w").count()
+    seen = counted.select("w", (1 + F.floor(F.log1p("count"))).cast("long").alias("n"))
+    seeds = parts.sparkSession.createDataFrame(list(_lexicon().items()), "w string, n long")
+    return seen.union(seeds).groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def _fits(words: DataFrame) -> bool:
+    return words.limit(MAX_WORDS + 1).count() <= MAX_WORDS
 
 
-def _tokens(rows: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """The rows with ``words``: words of the host, then of the path."""
-    sent = rows.sparkSession.sparkContext.broadcast(counts)
-    names = rows.columns
+def _tokens(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """The rows with ``words``: words of the host, then of the path; ``counts`` is written."""
+    if not _fits(counts):
+        return _joined_tokens(rows, counts)
+    sent = rows.sparkSession.sparkContext.broadcast({r["w"]: r["n"] for r in counts.collect()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(sent.value)
         for batch in batches:
-            hosts, paths = batch.column(names.index("host")).to_pylist(), batch.column(names.index("path")).to_pylist()
+            hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
             words = [[*segmenter.host(h), *path_words(p)] for h, p in zip(hosts, paths, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.list_(pa.string()))], names=[*names, "words"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.list_(pa.string()))], names=[*batch.schema.names, "words"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("words", T.ArrayType(T.StringType()))]))
 
 
+def _joined_tokens(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``_tokens`` with each distinct host's substrings joined to the counts."""
+    total = counts.agg(F.sum("n")).first()[0]
+    hosts = materialize(rows.select("host").distinct(), "url-hosts")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h in batch.column("host").to_pylist():
+                parts = re.findall(r"[^\W_]+", h)
+                found = list({p[a:b] for p in parts for a in range(len(p)) for b in range(a + 1, min(a + Segmenter.LONGEST, len(p)) + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(found), pa.string()), pa.array(found, pa.string())], names=["host", "w"])
+
+    known = hosts.mapInArrow(cut, "host string, w string").join(counts, "w").groupBy("host").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("host").to_pylist()
+            tables = [{e["w"]: e["n"] for e in k or ()} for k in batch.column("known").to_pylist()]
+            words = [Segmenter(t, total).host(h) for h, t in zip(names, tables, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(words, pa.list_(pa.string()))], names=["host", "host_words"])
+
+    given = rows.columns
+    of_host = hosts.join(known, "host", "left").mapInArrow(split, "host string, host_words array<string>")
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("host_words").to_pylist(), batch.column("path").to_pylist(), strict=True)
+            words = [[*h, *path_words(p)] for h, p in both]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in given), pa.array(words, pa.list_(pa.string()))], names=[*given, "words"])
+
+    return rows.join(of_host, "host").select(*given, "host_words").mapInArrow(
+        paths, T.StructType([*rows.schema.fields, T.StructField("words", T.ArrayType(T.StringType()))])
+    )
+
+
+def _scored(tokens: DataFrame, counted: DataFrame, sizes: tuple[int, int]) -> DataFrame:
+    """The tokens with ``odds``; ``counted`` is the written table of all words."""
+    if _fits(counted):
+        model = Bayes({r["w"]: (r["n0"], r["n1"]) for r in counted.collect()}, sizes)
+        sent = tokens.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                odds = [sent.value.odds(w) for w in batch.column("words").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds, pa.float64())], names=[*batch.schema.names, "odds"])
+
+        return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("odds", T.DoubleType())]))
+    all_ = counted.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count(F.lit(1)).alias("n")).first()
+    sums, prior = [all_[c] + all_["n"] + 1 for c in ("n0", "n1")], Bayes.prior_of(sizes)
+    gain = counted.select("w", (F.log((F.col("n1") + 1) / sums[1]) - F.log((F.col("n0") + 1) / sums[0])).alias("gain"))
+    # rows of equal words have equal odds, so each list of words is scored once
+    lists = materialize(tokens.select("words").distinct(), "url-lists").select(F.monotonically_increasing_id().alias("at"), "words")
+    lists = materialize(lists, "url-lists-numbered")
+    each = lists.select("at", F.explode("words").alias("w")).join(gain, "w").groupBy("at").agg(F.sum("gain").alias("gain"))
+    odds = lists.join(each, "at", "left").select("words", (F.lit(prior) + F.coalesce("gain", F.lit(0.0))).alias("odds"))
+    return tokens.join(odds, "words").select(*tokens.columns, "odds")
+
+
 def judge(
     pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url"
 ) -> DataFrame:
@@ -169,7 +248,7 @@ def judge(
     """
     host, path = split_url(F.col("url"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", host.alias("host"), path.alias("path"))
-    tokens = materialize(_tokens(rows, unigrams(rows)), "url-words")
+    tokens = materialize(_tokens(rows, materialize(unigrams(rows), "url-unigrams")), "url-words")
     bad, good = F.array(*map(F.lit, BAD)), F.array(*map(F.lit, GOOD))
     labelled = tokens.select(
         F.when(F.arrays_overlap("words", bad), 1).when(F.arrays_overlap("words", good) | (F.size("words") > 0), 0).alias("y"),
@@ -180,19 +259,8 @@ def judge(
         labelled.select("y", F.explode("words").alias("w"))
         .groupBy("w")
         .agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))
-        .orderBy(F.desc(F.col("n0") + F.col("n1")), "w")
-        .limit(MAX_WORDS)
     )
-    model = Bayes({r["w"]: (r["n0"], r["n1"]) for r in counted.collect()}, (sizes["n0"], sizes["n1"]))
-    sent = pages.sparkSession.sparkContext.broadcast(model)
-    names = tokens.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            odds = [sent.value.odds(w) for w in batch.column(names.index("words")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds, pa.float64())], names=[*names, "odds"])
-
-    scored = tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("odds", T.DoubleType())]))
+    scored = _scored(tokens, materialize(counted, "url-counts"), (sizes["n0"], sizes["n1"]))
     fits = rule_of(F.col("host"), F.col("path"), rules)
     return scored.select(
         F.col("id").alias(id_col), "host", "path", fits["rule"].alias("rule"),

@@ -225,6 +225,25 @@ def test_hosts_are_split_into_words():
     assert segmenter.host("www.cheappills-casinowin.com") == ["www", "cheap", "pills", "casino", "win", "com"]
 
 
+def test_words_beyond_the_broadcast_bound_count_alike(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").union(
+        spark.createDataFrame([(10**6 + i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    )
+    ask = lambda: {r.page_id: (r.words, r.odds, r.verdict) for r in url_filter.contract(url_filter.judge(pages)).collect()}
+    want = ask()
+    monkeypatch.setattr(url_filter, "MAX_WORDS", 5)
+    got = ask()
+    assert got.keys() == want.keys()
+    assert all(got[i][::2] == want[i][::2] and abs(got[i][1] - want[i][1]) < 1e-5 for i in want)
+
+
+def test_words_of_all_lengths_and_scripts_count(spark):
+    rows = spark.createDataFrame([("cheappillscasino.org", "/internationalization/книга/x1/7")], "host string, path string")
+    counts = {r.w: r.n for r in url_filter.unigrams(rows).collect()}
+    assert url_filter.Segmenter(counts).host("cheappillscasino.org") == ["cheap", "pills", "casino", "org"]
+    assert counts["internationalization"] == counts["книга"] == 1 and counts["org"] == 1001
+
+
 @pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
     for t in ("documents", "pages", "benchmark", "labels"):
