@@ -217,6 +217,15 @@ def a29_trace_replay(spark, d):
     return files.replay(trace, order_view(spark, d)).select("seq", "op", "key", "found")
 
 
+@query()
+def a29_trace_replay_whole(spark, d):
+    """The trace of all events; a correlated subquery a row is too slow as an oracle."""
+    trace = read(spark, d, "events").select(
+        F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", "seek").otherwise("get").alias("op"), (F.col("user_id") * 37).alias("key")
+    )
+    return files.replay(trace, order_view(spark, d)).select("seq", "op", "key", "found")
+
+
 @query("SELECT o_orderkey AS key, o_orderstatus AS value FROM orders WHERE o_orderkey < 300 OR o_orderkey >= 600")
 def a36_excise(spark, d):
     return kv.excise(order_view(spark, d), 300, 600).select("key", "value")
@@ -456,6 +465,13 @@ def e08_static_columns(spark, d):
     return wide.attach_static(rows, statics, ["user_id"]).where("event_id is not null")
 
 
+@query("SELECT user_id, event_id, c_name FROM events LEFT JOIN customer ON c_custkey = user_id")
+def e08_static_columns_whole(spark, d):
+    rows = read(spark, d, "events").select("user_id", "event_id")
+    statics = read(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    return wide.attach_static(rows, statics, ["user_id"]).where("event_id is not null")
+
+
 @query("SELECT a, b FROM (SELECT bit_xor(o_orderkey) AS a, count(*) AS b FROM orders)")
 def e07_replica_digest(spark, d):
     o = read(spark, d, "orders")
@@ -628,6 +644,13 @@ def n07_ledger(spark, d):
     return files.ledger(jobs, outputs).select("level", "given", "made", "unbalanced", "over_capacity")
 
 
+@query("WITH o AS (SELECT l_orderkey AS job, l_suppkey AS key_min, l_suppkey + l_linenumber AS key_max, CAST(l_quantity AS BIGINT) AS entries FROM lineitem), m AS (SELECT *, CASE WHEN key_min <= lag(key_max) OVER (PARTITION BY job ORDER BY key_min, key_max, entries) THEN 1 ELSE 0 END AS ov FROM o), j AS (SELECT o_orderkey AS job, o_orderkey % 4 AS level, 100 + o_orderkey % 10 AS given, 40 AS cap FROM orders), p AS (SELECT j.job, level, given, coalesce(sum(entries), 0) AS made, sum(CASE WHEN entries > cap THEN 1 ELSE 0 END) AS over_ FROM j LEFT JOIN m USING (job) GROUP BY 1, 2, 3) SELECT level, CAST(sum(given) AS BIGINT) AS given, CAST(sum(made) AS BIGINT) AS made, CAST(sum(CASE WHEN given <> made THEN 1 ELSE 0 END) AS BIGINT) AS unbalanced, CAST(sum(over_) AS BIGINT) AS over_capacity FROM p GROUP BY 1")
+def n07_ledger_whole(spark, d):
+    outputs = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("job"), F.col("l_suppkey").alias("key_min"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("key_max"), F.col("l_quantity").cast("long").alias("entries"))
+    jobs = read(spark, d, "orders").select(F.col("o_orderkey").alias("job"), (F.col("o_orderkey") % 4).alias("level"), (100 + F.col("o_orderkey") % 10).alias("entries"), F.lit(40).alias("capacity"))
+    return files.ledger(jobs, outputs).select("level", "given", "made", "unbalanced", "over_capacity")
+
+
 @query("SELECT p_type AS key, round(avg(CASE WHEN p_size <= 25 THEN p_retailprice END), 4) AS small, round(avg(CASE WHEN p_size > 25 THEN p_retailprice END), 4) AS large FROM part GROUP BY 1")
 def n08_ratios(spark, d):
     p = read(spark, d, "part").select(F.col("p_type").alias("key"), F.when(F.col("p_size") <= 25, "small").otherwise("large").alias("size"), "p_retailprice")

@@ -92,6 +92,13 @@ def b08_entities(spark, d):
     return e.select("key", wide.column_of("columns", "name").alias("name"), wide.column_of("columns", "nation").alias("nation"))
 
 
+@query("SELECT c_custkey AS key, c_name AS name, CAST(c_nationkey AS VARCHAR) AS nation FROM customer")
+def b08_entities_whole(spark, d):
+    c = read(spark, d, "customer")
+    e = c.select(F.col("c_custkey").alias("key"), wide.entity(name=F.col("c_name"), nation=F.col("c_nationkey"), none=F.lit(None)).alias("columns"))
+    return e.select("key", wide.column_of("columns", "name").alias("name"), wide.column_of("columns", "nation").alias("nation"))
+
+
 @query("SELECT * FROM (VALUES ('a', 100), ('b', 101), ('c', 103)) t(key, seq)")
 def b09_write_batch(spark, d):
     log, _ = L.WriteBatch().put("a", "1").put("b", "2").delete_range("x", "y").merge("c", "3").commit(spark, 100)
@@ -159,6 +166,13 @@ def b25_trigger(spark, d):
     return feeds.with_triggers(batch, [audit])
 
 
+@query("SELECT event_id AS seq, event_type AS kind FROM events UNION ALL SELECT event_id, 'audit' FROM events WHERE event_type = 'error'")
+def b25_trigger_whole(spark, d):
+    batch = read(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("kind"))
+    audit = lambda b: b.where("kind = 'error'").withColumn("kind", F.lit("audit"))
+    return feeds.with_triggers(batch, [audit])
+
+
 # --- C, D ------------------------------------------------------------------------------------------------------
 
 @query("SELECT c_custkey, c_name AS n, c_nationkey AS k FROM customer WHERE c_nationkey = 5")
