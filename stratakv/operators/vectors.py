@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +70,53 @@ def nearest_in_cells(df: DataFrame, column: str, cell: str, query: Sequence[floa
     return nearest(inside, column, query, k, "euclidean", ties)
 
 
+#: Rows that cells and probes are fitted on; every row is indexed.
+FIT_ROWS = 20_000
+
+
+def fit_cells(df: DataFrame, column: str, id_col: str, cells: int, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, sample): k-means of a sample by hash of at most ``FIT_ROWS`` vectors."""
+    taken = df.where(F.col(column).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(FIT_ROWS)
+    sample = np.array([r[0] for r in taken.select(column).collect()], dtype=np.float64)
+    centres = sample[:: max(len(sample) // cells, 1)][:cells].copy()
+    for _ in range(rounds):
+        own = _far(sample, centres).argmin(axis=1)
+        for c in np.unique(own):
+            centres[c] = sample[own == c].mean(axis=0)
+    return centres, sample
+
+
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a**2).sum(axis=1)[:, None] - 2 * a @ b.T + (b**2).sum(axis=1)
+
+
+def choose_probes(centres: np.ndarray, sample: np.ndarray, query: Sequence[float], k: int, goal: float = 0.95) -> int:
+    """The fewest probes with that recall in the sample, for the query and on average for 50 stored vectors."""
+    asked = np.vstack([np.array(query, dtype=np.float64)[None], sample[:: max(len(sample) // 50, 1)]])
+    own = _far(sample, centres).argmin(axis=1)
+    rank = _far(asked, centres).argsort(axis=1).argsort(axis=1)  # of each cell for each query
+    near = _far(asked, sample).argsort(axis=1)[:, :k]
+    need = np.take_along_axis(rank, own[near], axis=1)
+    for probes in range(1, len(centres)):
+        recall = (need < probes).mean(axis=1)
+        if min(recall[0], recall[1:].mean()) >= goal:
+            return probes
+    return len(centres)
+
+
+def nearest_in_lists(df: DataFrame, column: str, query: Sequence[float], k: int, id_col: str, cells: int = 10, probes: int | None = None) -> DataFrame:
+    """Inverted lists of k-means cells: the k nearest (squared distance) of the rows in the probed cells."""
+    centres, sample = fit_cells(df, column, id_col, cells)
+    if not len(sample):
+        return nearest(df, column, query, k, "euclidean", [id_col])
+    probes = probes or choose_probes(centres, sample, query, k)
+    order = _far(np.array(query, dtype=np.float64)[None], centres)[0].argsort()[:probes]
+    lists = F.array(*(F.struct(F.lit(i).alias("i"), F.array(*map(F.lit, c.tolist())).alias("v")) for i, c in enumerate(centres)))
+    far = lambda c: F.aggregate(F.zip_with(c["v"], F.col(column), lambda x, y: (x - y) ** 2), F.lit(0.0), lambda a, x: a + x)
+    cell = F.array_min(F.transform(lists, lambda c: F.struct(far(c).alias("d"), c["i"].alias("i"))))["i"]
+    return nearest(df.where(cell.isin([int(c) for c in order])), column, query, k, "euclidean", [id_col])
+
+
 def to_bytes(column: str) -> Column:
     """A vector of floats as big-endian bytes of 4 each."""
     return F.unhex(F.array_join(F.transform(column, lambda x: F.lpad(F.hex(float_bits(x)), 8, "0")), ""))

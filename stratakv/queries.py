@@ -581,7 +581,7 @@ def g20_similarities(spark, d):
 
 @query()
 def i06_inverted_lists(spark, d):
-    return vectors.nearest_in_cells(read(spark, d, "embeddings"), "embedding", "label", QUERY_VECTOR, 10, 3, ["vec_id"]).select("vec_id", "score")
+    return vectors.nearest_in_lists(read(spark, d, "embeddings"), "embedding", QUERY_VECTOR, 10, "vec_id").select("vec_id", "score")
 
 
 @query("SELECT c_custkey, lower(hex(encode(c_name))) AS b, lpad(lower(to_hex(c_custkey)), 16, '0') AS k, sha256(c_name) AS h FROM customer")

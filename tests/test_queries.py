@@ -48,3 +48,12 @@ def test_whole_trace_against_brute_force(spark, duck):
         want.append((seq, op, key, next((k for k in keys if (k >= key if op == "seek" else k == key)), None)))
     got = queries.QUERIES["a29_trace_replay_whole"](spark, SF).select("seq", "op", "key", "found").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_inverted_lists_recall(spark, sf):
+    d = f"/root/testdata/sf{sf}"
+    rows = queries.read(spark, d, "embeddings")
+    near = queries.vectors.nearest(rows, "embedding", queries.QUERY_VECTOR, 10, "euclidean", ["vec_id"])
+    got = {r.vec_id for r in queries.QUERIES["i06_inverted_lists"](spark, d).collect()}
+    assert len(got & {r.vec_id for r in near.collect()}) >= 9
