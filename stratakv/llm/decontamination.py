@@ -257,7 +257,8 @@ def contamination(
     an item; an item of fewer, but not none, is one window), n_items, items (their ids as text,
     sorted), longest_match (words; 0 without a window) and contaminated. Null and wordless texts have no words and are clean;
     repeated rows and repeated items are looked at one by one; an empty table of documents gives
-    an empty result, an empty table of tests leaves all clean. A column of ``keep`` that clashes
+    an empty result, an empty table of tests leaves all clean. Items with a null id have no name
+    and are not searched: a passage of such an item alone leaves a document clean. A column of ``keep`` that clashes
     with an added one is an error of the caller; other columns are not looked at.
     """
     names = [id_col] if keep is None else keep
