@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from stratakv.llm import decontamination, exact_dedup, pii, registry, secrets, sharding, url_filter
+from stratakv.llm import decontamination, exact_dedup, licenses, pii, registry, secrets, sharding, url_filter
 
 from .cases import TEXTS, frame
 
@@ -244,6 +244,13 @@ def test_words_of_all_lengths_and_scripts_count(spark):
     assert counts["internationalization"] == counts["книга"] == 1 and counts["org"] == 1001
 
 
+def test_whole_licence_texts(spark):
+    unlicense = [w for name, w in licenses.CATALOGUE if name == "Unlicense" and "please refer to" in w]
+    rows = [("MIT", licenses.MIT), ("ISC", licenses.ISC), ("0BSD", licenses.ZERO_BSD), *(("Unlicense", w) for w in unlicense)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    assert unlicense and {r.doc_id: r.license_id for r in licenses.scan(docs).collect()} == {i: n for i, (n, _) in enumerate(rows)}
+
+
 @pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
     for t in ("documents", "pages", "benchmark", "labels"):
