@@ -18,6 +18,7 @@ import math
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 from itertools import accumulate, chain, count, repeat
 
 import numpy as np
@@ -33,12 +34,15 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581  # the mark that stands for a space in pieces
 _OWN_MARK = 0x110001  # a mark that is in the text itself; no piece has it, so it is spelt in bytes
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+_MORE = np.uint64(0xC2B2AE3D27D4EB4F)  # odd, so words of one kind and step have distinct numbers
 #: Chances of pieces are carried as exp(log + SCALE x characters); only their ratios matter.
 SCALE = 2.5
-#: Texts of a batch are handled in runs of about so many characters (about 150 bytes each).
+#: Texts of a batch are handled in runs of about so many characters (about 100 bytes each); a longer text alone.
 RUN_CHARS = 200_000
-#: Word types whose lattices a worker keeps; beyond it starts anew.
-KEPT_TYPES = 40_000
+#: Edges of word types' lattices that a task keeps (14 bytes each); beyond them it starts anew.
+KEPT_EDGES = 1_000_000
+#: Characters of new word types that are added in one turn (about 300 bytes each meanwhile); a longer word alone.
+ADD_CHARS = 60_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -199,11 +203,12 @@ class Vocabulary:
 
 
 class Lattices:
-    """Lattices of word types: for each node and length the chance of that piece from there on.
+    """Lattices of word types: the pieces that may start at each character, with cumulated chances.
 
-    ``share[node, l - 1]`` is the cumulated chance of pieces of at most l characters, given the
-    node (of no meaning beyond the word's end); ``ids[node, l - 1]`` is the piece (-1: none;
-    vocabulary size: the character in bytes). Columns grow in place within their capacity.
+    Node i (a character of a type) has the edges ``edge_at[i]`` to ``edge_at[i + 1]``, one for each
+    piece from there that ends within the word, shortest first: ``share`` is the chance, given the
+    node, of that piece or a shorter one, ``ids`` the piece (vocabulary size: the character in
+    bytes) and ``step`` its characters. Types are kept up to ``KEPT_EDGES`` edges (14 bytes each).
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -211,16 +216,19 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.used = 0
+        self.nodes = self.edges = 0
         self.first = np.zeros(0, dtype=np.int64)
         self.length = np.zeros(0, dtype=np.int64)
         if not hasattr(self, "share"):  # what has grown stays as room for the next types
             self.chars = np.zeros(0, dtype=np.uint32)
-            self.share = np.zeros((0, 12))
-            self.ids = np.zeros((0, 12), dtype=np.int32)
-        self.bits = max(8, (4 * KEPT_TYPES).bit_length())
+            self.edge_at = np.zeros(1, dtype=np.int32)
+            self.share = np.zeros(0)
+            self.ids = np.zeros(0, dtype=np.int32)
+            self.step = np.zeros(0, dtype=np.uint16)
+        self.bits = 12
         self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
         self.values = np.full(1 << self.bits, -1, dtype=np.int32)
+        self.held = 0
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """The type of each key in the table; -1 if there is none."""
@@ -237,7 +245,14 @@ class Lattices:
         return out
 
     def _keep(self, keys: np.ndarray, types: np.ndarray) -> None:
-        """Puts distinct new keys into the table."""
+        """Puts distinct new keys into the table, which stays at most a quarter full."""
+        self.held += len(keys)
+        if 4 * self.held > 1 << self.bits:
+            old = self.values >= 0
+            keys, types = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], types])
+            self.bits = (4 * self.held).bit_length()
+            self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
+            self.values = np.full(1 << self.bits, -1, dtype=np.int32)
         slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         open_ = np.arange(len(keys))
         while len(open_):
@@ -254,7 +269,7 @@ class Lattices:
 
         Words are looked up by a hash of their characters and then compared in full.
         """
-        if len(self.length) > KEPT_TYPES:
+        if self.edges > KEPT_EDGES:
             self.clear()
         length = np.diff(np.append(start, len(codes)))
         keys = word_hashes(codes, start, length)
@@ -277,8 +292,11 @@ class Lattices:
         return out
 
     def _add_words(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray, words: np.ndarray) -> None:
-        n = length[words]
-        self._add(codes[np.repeat(start[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n)
+        """New types in turns of about ``ADD_CHARS`` characters, which bounds what a turn holds."""
+        turn = np.cumsum(length[words]) // ADD_CHARS
+        for own in np.split(words, np.flatnonzero(np.diff(turn)) + 1):
+            n = length[own]
+            self._add(codes[np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n)
 
     def _add(self, chars: np.ndarray, length: np.ndarray) -> None:
         v = self.v
@@ -304,36 +322,39 @@ class Lattices:
         ids = ids[:height]
         spelt = ids[0] < 0  # no piece is this character alone
         ids[0][spelt] = v.size
-        utf8 = np.where(chars < 0x80, 1, np.where(chars < 0x800, 2, np.where((chars < 0x10000) | (chars == _OWN_MARK), 3, 4)))
-        share = self._shares(ids, left)
-        if share is None:  # long or rare words: some product left the range of doubles
-            share = np.empty(ids.shape)
-            hard = np.repeat(self._hard(length, spelt, end), length)
-            share[:, ~hard] = self._shares(ids[:, ~hard], left[~hard]) if (~hard).any() else 0
+        share = np.empty(ids.shape)
+        hard = np.repeat(self._hard(length, spelt, end), length)
+        easy = self._shares(ids[:, ~hard], left[~hard])
+        if easy is None:  # some product left the range of doubles
+            hard[:] = True
+        else:
+            share[:, ~hard] = easy
+        if hard.any():
+            utf8 = np.where(chars < 0x80, 1, np.where(chars < 0x800, 2, np.where((chars < 0x10000) | (chars == _OWN_MARK), 3, 4)))
             log = v.log[ids[:, hard]]
             log[ids[:, hard] < 0] = -np.inf
             log[0][spelt[hard]] = v.byte_log * utf8[hard & spelt]
             share[:, hard] = self._log_shares(log, left[hard])
         self._append(chars, share, ids)
-        self.first = np.concatenate([self.first, self.used + end - length])
+        self.first = np.concatenate([self.first, self.nodes + end - length])
         self.length = np.concatenate([self.length, length])
-        self.used += len(chars)
+        self.nodes += len(chars)
 
     def _append(self, chars: np.ndarray, share: np.ndarray, ids: np.ndarray) -> None:
-        a, b = self.used, self.used + len(chars)
-        capacity, height = self.share.shape
-        if b > capacity or len(ids) > height:
-            capacity, height = (max(capacity * 5 // 4, b) if b > capacity else capacity), max(height, len(ids))
-            for name, fill in (("share", 1.0), ("ids", -1)):
-                old = getattr(self, name)
-                new = np.empty((capacity, height), dtype=old.dtype)
-                new[:a, : old.shape[1]] = old[:a]
-                new[:a, old.shape[1] :] = fill
-                setattr(self, name, new)
-            self.chars = np.concatenate([self.chars[:a], np.empty(capacity - a, dtype=np.uint32)])
-        self.chars[a:b] = chars
-        self.share[a:b, : len(share)], self.share[a:b, len(share) :] = share.T, 1.0
-        self.ids[a:b, : len(ids)], self.ids[a:b, len(ids) :] = ids.T, -1
+        real = (ids >= 0).T
+        n = real.sum(axis=1)
+        new = {"chars": (self.nodes, chars), "edge_at": (self.nodes + 1, self.edges + np.cumsum(n))}
+        new |= {"share": (self.edges, share.T[real]), "ids": (self.edges, ids.T[real])}
+        new["step"] = self.edges, (np.nonzero(real)[1] + 1)
+        for name, (at, values) in new.items():
+            old = getattr(self, name)
+            if at + len(values) > len(old):
+                room = np.empty(max(len(old) * 5 // 4, at + len(values)), dtype=old.dtype)
+                room[:at] = old[:at]
+                setattr(self, name, room)
+                old = room
+            old[at : at + len(values)] = values
+        self.edges += int(n.sum())
 
     @staticmethod
     def _hard(length: np.ndarray, spelt: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -389,23 +410,22 @@ class Lattices:
     def draw(self, types: np.ndarray, uniforms) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """A segmentation of each word: log chances, token counts, and per step (which, edge).
 
-        ``uniforms(which, step)`` gives the draws; an edge is (node, length - 1) in one number.
+        ``uniforms(which, step)`` gives the draws.
         """
         log = np.zeros(len(types))
         count = np.zeros(len(types), dtype=np.int64)
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         which = np.arange(len(types))
         node, rest = self.first[types], self.length[types]
-        height = self.share.shape[1]
-        share = self.share.reshape(-1)
+        share = self.share
         while len(which):
             u = uniforms(which, len(steps))
-            edge = node * height
+            edge = self.edge_at[node]
             high = share[edge]
             chance = high.copy()
             open_ = np.flatnonzero(u >= high)
             low, at = high[open_], edge[open_]
-            while len(open_):
+            while len(open_):  # the last share of a node is 1
                 at += 1
                 high = share[at]
                 over = u[open_] >= high
@@ -413,11 +433,10 @@ class Lattices:
                 edge[open_] = at
                 open_, low, at = open_[over], high[over], at[over]
             log[which] += np.log(np.maximum(chance, 1e-300))
-            length = edge - node * height
             steps.append((which, edge))
             count[which] += 1
-            rest = rest - length - 1
-            node = node + length + 1
+            n = self.step[edge]
+            rest, node = rest - n, node + n
             go = rest > 0
             which, node, rest = which[go], node[go], rest[go]
         return log, count, steps
@@ -427,21 +446,21 @@ class Lattices:
 
         At each node the chances of the excluded continuations are taken out of their edges.
         """
-        height = self.share.shape[1]
         node, end = int(self.first[kind]), int(self.first[kind] + self.length[kind])
         # log chances of the excluded ones from each step to the word's end
         still = [(p, list(accumulate(self.log_of(e) for e in reversed(p)))[::-1]) for p in not_these]
         log, edges = 0.0, []
         while node < end:
-            step = len(edges)
-            share, ids = self.share[node].tolist(), self.ids[node].tolist()
+            place = len(edges)
+            base = int(self.edge_at[node])
+            share = self.share[base : int(self.edge_at[node + 1])].tolist()
             chance = [b - a for a, b in zip([0.0, *share], share, strict=False)]
-            free = [c if i >= 0 else 0.0 for c, i in zip(chance, ids, strict=True)]
+            free = chance.copy()
             for p, logs in still:
-                k = p[step] % height
-                free[k] = max(free[k] - math.exp(logs[step]), 0.0)
-            if sum(free) <= 0:
-                free = [c if i >= 0 else 0.0 for c, i in zip(chance, ids, strict=True)]
+                k = p[place] - base
+                free[k] = max(free[k] - math.exp(logs[place]), 0.0)
+            if still and sum(free) <= 0:  # rounding took all: any edge below which something is left
+                free = [c if self._open_below([p for p, _ in still if p[place] == base + k], place + 1) else 0.0 for k, c in enumerate(chance)]
             u = next(uniforms) * sum(free)
             pick = 0
             for k, f in enumerate(free):
@@ -450,26 +469,46 @@ class Lattices:
                     u -= f
                     if u < 0:
                         break
-            edge = node * height + pick
-            still = [x for x in still if x[0][step] == edge]
+            edge = base + pick
+            still = [x for x in still if x[0][place] == edge]
             log += math.log(max(chance[pick], 1e-300))
             edges.append(edge)
-            node += pick + 1
+            node += int(self.step[edge])
         return log, edges
 
+    def _node_of(self, edge: int) -> int:
+        return int(np.searchsorted(self.edge_at[: self.nodes + 1], edge, side="right")) - 1
+
+    def _open_below(self, paths: Sequence[Sequence[int]], place: int) -> bool:
+        """Whether, after their first ``place`` edges, which they share, there is a way that is none of the paths."""
+        todo = [(list(paths), place)]
+        while todo:
+            own, at = todo.pop()
+            if not own:
+                return True
+            own = [p for p in own if len(p) > at]
+            if not own:
+                continue
+            node = self._node_of(own[0][at])
+            next_ = {p[at] for p in own}
+            if len(next_) < int(self.edge_at[node + 1] - self.edge_at[node]):
+                return True
+            todo += [([p for p in own if p[at] == e], at + 1) for e in next_]
+        return False
+
     def log_of(self, edge: int) -> float:
-        node, k = divmod(edge, self.share.shape[1])
-        low = self.share[node, k - 1] if k else 0.0
-        return math.log(max(float(self.share[node, k] - low), 1e-300))
+        low = self.share[edge - 1] if edge > 0 and self.share[edge - 1] < 1.0 else 0.0  # a node's last share is 1
+        return math.log(max(float(self.share[edge] - low), 1e-300))
 
     def tokens(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of edges, and how many each edge has (characters in bytes have several)."""
-        ids = self.ids.reshape(-1)[edges].astype(np.int64)
+        ids = self.ids[edges].astype(np.int64)
         n = np.ones(len(ids), dtype=np.int64)
         bytewise = np.flatnonzero(ids == self.v.size)
         if not len(bytewise):
             return ids, n
-        spelt = [chr(SPACE if c == _OWN_MARK else c).encode("utf-8", "surrogatepass") for c in self.chars[edges[bytewise] // self.share.shape[1]].tolist()]
+        nodes = np.searchsorted(self.edge_at[: self.nodes + 1], edges[bytewise], side="right") - 1
+        spelt = [chr(SPACE if c == _OWN_MARK else c).encode("utf-8", "surrogatepass") for c in self.chars[nodes].tolist()]
         n[bytewise] = [len(b) for b in spelt]
         out = np.repeat(ids, n)
         first = np.cumsum(n) - n
@@ -479,17 +518,25 @@ class Lattices:
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the hash's base and of its inverse, mod 2^64, up to n."""
-    if len(_POWERS[0]) <= n:
-        for i, b in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            steps = np.full(2 * n + 2, np.uint64(b))
-            steps[0] = 1
-            _POWERS[i] = np.cumprod(steps)
-    return _POWERS
+def _powers_of(base: int, n: int) -> np.ndarray:
+    """The first n powers of a number, mod 2^64."""
+    steps = np.full(n, np.uint64(base))
+    steps[:1] = 1
+    return np.cumprod(steps)
+
+
+@cache
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return tuple(_powers_of(b, RUN_CHARS + 1) for b in (_BASE, pow(_BASE, -1, 2**64)))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse up to n; those of longer runs are not kept."""
+    if n <= RUN_CHARS:
+        return _kept_powers()
+    return tuple(_powers_of(b, n + 1) for b in (_BASE, pow(_BASE, -1, 2**64)))
 
 
 def word_hashes(codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -534,9 +581,9 @@ def sample_run(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -
     place = np.arange(len(types)) - start[text_of]
 
     def counter(rank: int, kind: int, at: np.ndarray, step: int = 0) -> np.ndarray:
-        packed = (np.uint64(rank * 4 + kind) << np.uint64(54)) ^ (at.astype(np.uint64) << np.uint64(18)) ^ np.uint64(step & 0x3FFFF)
-        # the packed field holds 2^18 steps; what is above it is hashed in, so no draw of a longer word repeats
-        return packed ^ mix(np.array([step >> 18], dtype=np.uint64))[0] if step >> 18 else packed
+        """The draw's number: what it is for, its word and its step, each hashed in full."""
+        what = mix(np.array([4 * rank + kind + 1], dtype=np.uint64) * _GOLD)[0] ^ mix(np.array([step + 1], dtype=np.uint64))[0]
+        return at.astype(np.uint64) * _MORE + what
 
     root = -np.log(-np.log(uniform(keys, np.full(len(texts), 2**63, dtype=np.uint64))))
     # sets of segmentations, per text: (bound, rank of the sample whose prefix it shares, word, excluded)
@@ -698,10 +745,13 @@ def encode(
     plus Gumbel noise) and log_inclusion, the log chance that its perturbed log-probability
     exceeds the (k+1)-th largest one, by which samples can be weighted. A text with fewer than k
     segmentations gets them all, with inclusion 1 (log 0). Null and empty texts have the one empty
-    segmentation. Rows with equal keys and texts get equal samples; null keys are one key. A column
-    of ``keep`` (by default all columns) named ``out_col`` is an error of the caller.
+    segmentation. ``round_trip`` says whether all samples decode to the text. Rows with equal keys
+    and texts get equal samples; null keys are one key. Columns of ``keep`` (by default all) are
+    returned as they are, but those named ``out_col`` or ``round_trip`` (in any case), which the
+    new columns replace. A text, and a word, is handled as a whole: a worker needs about 100 bytes
+    for each character of the longest text and 300 for each of the longest word.
     """
-    names = docs.columns if keep is None else keep
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (out_col.lower(), "round_trip")]
     key, text = fresh(docs.select(*(F.col(f"`{c}`") for c in names)), "row_key", "text_to_encode")
     rows = docs.select(*(F.col(f"`{c}`") for c in names), F.col(key_col).cast("string").alias(key), F.col(f"`{text_col}`").alias(text))
     spark = docs.sparkSession
