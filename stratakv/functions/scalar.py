@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -364,6 +365,8 @@ def tokens(x: Column, stop_words: Sequence[str] = (), lower: bool = True) -> Col
 # --- partitioner token --------------------------------------------------------------
 
 _M = (1 << 64) - 1
+# Multipliers of the public Murmur3 hash (128 bits, x64).
+_C1, _C2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
 
 
 def _rotl(x: int, r: int) -> int:
@@ -383,7 +386,7 @@ def murmur3_token(data: bytes) -> int:
 
     The smallest long stands for no token, so it maps to the largest.
     """
-    c1, c2, h1, h2 = 0x87C37B91114253D5, 0x4CF5AD432745937F, 0, 0
+    c1, c2, h1, h2 = _C1, _C2, 0, 0
     whole = len(data) // 16
     for i in range(whole):
         k1 = int.from_bytes(data[16 * i : 16 * i + 8], "little")
@@ -420,19 +423,62 @@ def token(*blobs: Column) -> Column:
 
     @F.pandas_udf("long")
     def hashed(*parts: pd.Series) -> pd.Series:
-        out = []
-        for row in zip(*parts, strict=True):
-            if any(b is None for b in row):
-                out.append(None)
-            elif len(row) == 1:
-                out.append(murmur3_token(bytes(row[0])))
-            else:
-                out.append(murmur3_token(b"".join(len(b).to_bytes(2, "big") + bytes(b) + b"\0" for b in row)))
-        return pd.Series(out, dtype="Int64")
+        if len(parts) == 1:
+            keys = [None if b is None else bytes(b) for b in parts[0]]
+        else:
+            joined = zip(*parts, strict=True)
+            keys = [None if any(b is None for b in row) else b"".join(len(b).to_bytes(2, "big") + bytes(b) + b"\0" for b in row) for row in joined]
+        out = pd.array([None] * len(keys), dtype="Int64")
+        by_length: dict[int, list[int]] = {}
+        for i, k in enumerate(keys):
+            if k is not None:
+                by_length.setdefault(len(k), []).append(i)
+        for n, at in by_length.items():  # all keys of one length at once
+            data = np.frombuffer(b"".join(keys[i] for i in at), dtype=np.uint8).reshape(len(at), n)
+            out[at] = murmur3_tokens(data)
+        return pd.Series(out)
 
     return hashed(*blobs)
 
 
+def murmur3_tokens(data: np.ndarray) -> np.ndarray:
+    """``murmur3_token`` of the rows of a byte matrix."""
+    u = np.uint64
+    rotl = lambda x, r: (x << u(r)) | (x >> u(64 - r))
+    c1, c2 = u(_C1), u(_C2)
+    rows, n = data.shape
+    h1, h2 = np.zeros(rows, dtype=np.uint64), np.zeros(rows, dtype=np.uint64)
+    whole = n // 16
+    words = np.ascontiguousarray(data[:, : 16 * whole]).view("<u8").reshape(rows, 2 * whole)
+    for i in range(whole):
+        h1 ^= rotl(words[:, 2 * i] * c1, 31) * c2
+        h1 = (rotl(h1, 27) + h2) * u(5) + u(0x52DCE729)
+        h2 ^= rotl(words[:, 2 * i + 1] * c2, 33) * c1
+        h2 = (rotl(h2, 31) + h1) * u(5) + u(0x38495AB5)
+    tail = data[:, 16 * whole :].view(np.int8).astype(np.int64).view(np.uint64)
+    k1, k2 = np.zeros(rows, dtype=np.uint64), np.zeros(rows, dtype=np.uint64)
+    for i in range(tail.shape[1]):
+        if i < 8:
+            k1 ^= tail[:, i] << u(8 * i)
+        else:
+            k2 ^= tail[:, i] << u(8 * (i - 8))
+    if tail.shape[1] > 8:
+        h2 ^= rotl(k2 * c2, 33) * c1
+    if tail.shape[1]:
+        h1 ^= rotl(k1 * c1, 31) * c2
+
+    def fmix(k: np.ndarray) -> np.ndarray:
+        k = (k ^ (k >> u(33))) * u(0xFF51AFD7ED558CCD)
+        k = (k ^ (k >> u(33))) * u(0xC4CEB9FE1A85EC53)
+        return k ^ (k >> u(33))
+
+    h1, h2 = h1 ^ u(n), h2 ^ u(n)
+    h1 = h1 + h2
+    h2 = h2 + h1
+    out = (fmix(h1) + fmix(h2)).view(np.int64)
+    return np.where(out == np.iinfo(np.int64).min, np.iinfo(np.int64).max, out)
+
+
 def fast_token(*keys: Column) -> Column:
     """A 64-bit token by a built-in hash, for layouts that need no agreement with other systems."""
     return F.when(F.greatest(*(k.isNull().cast("int") for k in keys)) == 0 if len(keys) > 1 else keys[0].isNotNull(), F.xxhash64(*keys))

@@ -110,22 +110,22 @@ def replay(batches: DataFrame, decide: Column) -> DataFrame:
     )
 
 
-def conditional(pending: DataFrame, view: DataFrame, condition: Column) -> DataFrame:
-    """Pending writes (key, value, ...) with ``applied``: whether the condition holds on the current row.
+def conditional(pending: DataFrame, view: DataFrame, condition: str, value_type: str = "long") -> DataFrame:
+    """Pending writes (key, seq, value) with ``applied``: whether the condition holds on the then current row.
 
-    The condition sees the current value as ``current`` (null: no row). When several pending writes
-    hit one key, only the first by ``seq`` can apply: the rest see a changed row and report false.
+    ``condition`` is an SQL expression over ``current`` (null: no row) and ``value``. The writes of a
+    key are tested in turn by ``seq``: one that applies is what the next one sees. A key's pending
+    writes are one array; keys run side by side.
     """
-    from pyspark.sql import Window
-
     current = view.select("key", F.col("value").alias("current"))
-    turn = F.row_number().over(Window.partitionBy("key").orderBy("seq"))
-    return (
-        pending.withColumn("_turn", turn)
-        .join(current, "key", "left")
-        .withColumn("applied", F.coalesce(condition, F.lit(False)) & (F.col("_turn") == 1))
-        .drop("_turn")
-    )
+    turns = pending.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("turns"))
+    begin = "named_struct('current', current, 'out', cast(array() as array<struct<seq:bigint,applied:boolean>>))"
+    holds = "coalesce(" + condition.replace("current", "acc.current").replace("value", "x.value") + ", false)"
+    step = f"named_struct('current', if({holds}, cast(x.value as {value_type}), acc.current), 'out', concat(acc.out, array(named_struct('seq', x.seq, 'applied', {holds}))))"
+    tested = turns.join(current, "key", "left").select(
+        "key", F.explode(F.expr(f"aggregate(turns, {begin}, (acc, x) -> {step}, acc -> acc.out)")).alias("r")
+    ).select("key", "r.seq", "r.applied")
+    return pending.join(tested, ["key", "seq"])
 
 
 def union_logs(logs: Iterable[DataFrame]) -> DataFrame:

@@ -72,7 +72,7 @@ def sort_list(operand: Column, seq: Column) -> Column:
 
 
 def newest(n: int) -> Fold:
-    """The newest n operands, newest first."""
+    """The newest n operands, newest first. (``reconcile.merged`` with ``newest=n`` keeps a key to n operands before they are collected.)"""
     return lambda operand, seq: F.slice(F.reverse(in_order(operand, seq)), 1, n)
 
 
@@ -105,12 +105,35 @@ def register(name: str, how: Fold) -> None:
     REGISTRY[name] = how
 
 
+def _prefixed(value: Column) -> Column:
+    """Bytes after their length: seven bits a byte, lowest first, the high bit set on all but the last."""
+    raw = value.cast("binary")
+    n = F.octet_length(raw)
+    part = lambda shift, more: F.lpad(F.hex(F.shiftright(n, shift).bitwiseAND(F.lit(127)).bitwiseOR(F.lit(128 if more else 0))), 2, "0")
+    size = F.when(n < 1 << 7, part(0, False)).when(n < 1 << 14, F.concat(part(0, True), part(7, False)))
+    size = size.when(n < 1 << 21, F.concat(part(0, True), part(7, True), part(14, False)))
+    size = size.otherwise(F.concat(part(0, True), part(7, True), part(14, True), part(21, False)))
+    return F.concat(F.unhex(size), raw)
+
+
+def encode_operand(op: Column) -> Column:
+    """An operand as bytes: the function's length and name, then the payload."""
+    return F.concat(_prefixed(op["func"]), op["payload"].cast("binary"))
+
+
+def encode_operands(operands: Column) -> Column:
+    """A list of operands as bytes: each one's length and encoding."""
+    each = F.transform(operands, lambda o: F.hex(_prefixed(encode_operand(o))))
+    return F.unhex(F.array_join(each, ""))
+
+
 def aggregate_merge(operands: Column) -> Column:
     """Named aggregates: operands are structs (func, payload) in order, oldest first.
 
-    ``sum`` and ``mul`` fold numbers as text, ``last3`` comma-separated lists, ``""`` puts. When the
-    function changes, the result so far becomes the first operand of the new one. An unknown
-    function or a payload that is no number ends in (func "error", the operands joined by ``;``).
+    ``sum`` and ``mul`` fold numbers as text, ``last3`` comma-separated lists (three entries of the
+    newest lists, each list in its own order), ``""`` puts. When the function changes, the result
+    so far becomes the first operand of the new one. An unknown function or a payload that is no
+    number ends in (func "error", the list of all encoded operands, see ``encode_operands``).
     """
     first = F.struct(F.lit("").alias("func"), F.lit(None).cast("string").alias("payload"), F.lit(False).alias("bad"))
 
@@ -125,17 +148,16 @@ def aggregate_merge(operands: Column) -> Column:
             .when(func == "mul", F.when(fresh, value).otherwise((a * b).cast("string")))
             .when(
                 func == "last3",
-                F.array_join(F.slice(F.concat(F.reverse(F.split(value, ",")), F.when(fresh, F.array().cast("array<string>")).otherwise(F.split(old, ","))), 1, 3), ","),
+                F.array_join(F.slice(F.concat(F.split(value, ","), F.when(fresh, F.array().cast("array<string>")).otherwise(F.split(old, ","))), 1, 3), ","),
             )
         )
         bad = acc["bad"] | ~func.isin("", "sum", "mul", "last3") | (numeric & (b.isNull() | (~fresh & a.isNull())))
         return F.struct(func.alias("func"), combined.alias("payload"), bad.alias("bad"))
 
     def finish(acc: Column) -> Column:
-        listed = F.array_join(F.transform(operands, lambda o: F.concat_ws(":", o["func"], o["payload"])), ";")
         return F.struct(
             F.when(acc["bad"], F.lit("error")).otherwise(acc["func"]).alias("func"),
-            F.when(acc["bad"], listed).otherwise(acc["payload"]).alias("payload"),
+            F.when(acc["bad"], encode_operands(operands).cast("string")).otherwise(acc["payload"]).alias("payload"),
         )
 
     return F.aggregate(operands, first, step, finish)

@@ -104,9 +104,9 @@ def page(view: DataFrame, size: int, order: Sequence[str], after: Sequence | Non
 
 
 def mvcc_scan(versions: DataFrame, ts: int, reverse: bool = False) -> DataFrame:
-    """Newest version at or below a timestamp of every key, in key order."""
-    top = versions.where(F.col("ts") <= ts).groupBy("key").agg(F.max_by(F.struct("value", "ts"), F.struct("ts", "seq")).alias("t"))
-    return scan(top.select("key", "t.value", "t.ts"), reverse)
+    """Newest version at or below a timestamp of every key, in key order; keys deleted by then have no row."""
+    top = versions.where(F.col("ts") <= ts).groupBy("key").agg(F.max_by(F.struct("kind", "value", "ts"), F.struct("ts", "seq")).alias("t"))
+    return scan(top.where(~F.col("t.kind").isin("DEL", "SINGLEDEL")).select("key", "t.value", "t.ts"), reverse)
 
 
 def size_of(view: DataFrame, lo=None, hi=None) -> DataFrame:
@@ -126,6 +126,67 @@ def excise(view: DataFrame, lo, hi) -> DataFrame:
     return view.where((F.col("key") < F.lit(lo)) | (F.col("key") >= F.lit(hi)))
 
 
+def stop_after(view: DataFrame, order: Sequence[str], until: Column) -> DataFrame:
+    """Rows in order up to the first one for which ``until`` holds, that one included.
+
+    The first stop is one small aggregate; what lies beyond it is filtered at the scan's side.
+    """
+    here = F.struct(*order)
+    stop = view.where(until).agg(F.min(here).alias("_stop"))
+    return view.crossJoin(F.broadcast(stop)).where(F.col("_stop").isNull() | (here <= F.col("_stop"))).drop("_stop")  # one row
+
+
+def concat_ranges(parts: Sequence[tuple[DataFrame, object, object]], column: str = "key") -> DataFrame:
+    """Rows of parts (view, least key, largest key) whose key ranges do not overlap, in order of the ranges.
+
+    Each part is cut to its range, so the result is a union that needs no comparison of keys.
+    """
+    ordered = sorted(parts, key=lambda p: p[1])
+    if any(a[2] >= b[1] for a, b in zip(ordered, ordered[1:])):
+        raise ValueError("the parts' ranges overlap")
+    out = None
+    for view, lo, hi in ordered:
+        part = view.where(F.col(column).between(F.lit(lo), F.lit(hi)))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no parts")
+    return out
+
+
+def refill(replicas: Sequence[DataFrame], n: int, order: Sequence[str], column: str = "key", kind: str = "kind", version: str = "seq") -> DataFrame:
+    """The first n live rows of several replicas' newest versions: short reads are filled from beyond.
+
+    Each replica may hold versions that another has deleted, so a limit of each replica's rows would
+    fall short; the limit is taken after the versions are reconciled, as one ordered top-n.
+    """
+    every = replicas[0]
+    for r in replicas[1:]:
+        every = every.unionByName(r)
+    rest = [c for c in every.columns if c != column]
+    top = every.groupBy(column).agg(F.max_by(F.struct(*rest), version).alias("_top"))
+    live = top.where(~F.col(f"_top.{kind}").isin("DEL", "SINGLEDEL")).select(column, *(F.col(f"_top.{c}").alias(c) for c in rest))
+    return live.orderBy(*order).limit(n)
+
+
+def sort_key(kind: str, column: str = "key") -> Column:
+    """A column whose order is that of a comparator: bytewise, reverse, by number, or without regard to case.
+
+    Reverse bytewise order of text and binary is the order of the complemented bytes, ended by a
+    mark above all others, so that a prefix comes after its extensions.
+    """
+    c = F.col(column)
+    if kind == "bytewise":
+        return c.cast("binary")
+    if kind == "number":
+        return c.cast("decimal(38,10)")
+    if kind == "nocase":
+        return F.lower(c)
+    if kind == "reverse":
+        digits = F.translate(F.hex(c.cast("binary")), "0123456789ABCDEF", "FEDCBA9876543210")
+        return F.concat(digits, F.lit("G"))
+    raise ValueError(f"no comparator {kind}")
+
+
 def may_exist(view: DataFrame, keys: DataFrame) -> DataFrame:
     """The keys that exist (exact)."""
     return keys.join(view.select("key"), "key", "left_semi")

@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+from .spans import covered, number_bucket
+
 SEGMENTS = "model long, key_start double, key_end double, slope double, intercept double, n long"
 
 
@@ -41,10 +44,10 @@ def greedy_segments(keys: list[float], error: float, start: int = 0) -> Iterator
 def fit_plr(keys: DataFrame, model: str, key: str, error: float = 1.0, chunk: int = 100_000) -> DataFrame:
     """A PLR model of the distinct keys of each model id, fitted in chunks of consecutive ranks.
 
-    Ranks come from one window per model; a chunk is one task's work, so no task holds a set.
+    Ranks come from key ranges (see ``ranks``) and a chunk is one task's work, so no task holds a set.
     """
-    ranked = keys.select(F.col(model).cast("long").alias("model"), F.col(key).cast("double").alias("key")).distinct()
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("model").orderBy("key")) - 1)
+    distinct = keys.select(F.col(model).cast("long").alias("model"), F.col(key).cast("double").alias("key")).distinct()
+    ranked = ranks.ranked(distinct, ["key"], by=["model"])
     chunks = ranked.withColumn("chunk", F.floor(F.col("rank") / chunk))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -140,13 +143,13 @@ class DiscreteCdf:
         return [self.select(r) for r in range(first, last)]
 
 
-def select_ranks(ranks: DataFrame, intervals: DataFrame) -> DataFrame:
+def select_ranks(wanted: DataFrame, intervals: DataFrame) -> DataFrame:
     """(rank, key): ``DiscreteCdf.select`` for a table of ranks, with the intervals as a table."""
-    before = Window.orderBy("key_min").rowsBetween(Window.unboundedPreceding, -1)
-    placed = intervals.withColumn("before", F.coalesce(F.sum("num").over(before), F.lit(0)))
-    at = F.col("rank") - F.col("before")
+    placed = ranks.running(intervals, ["key_min"], {"before": F.col("num")})
     key = F.col("key_min") + F.expr("(rank - before) * (key_max - key_min + 1) div num")
-    return ranks.join(F.broadcast(placed), (at >= 0) & (at < F.col("num"))).select("rank", key.cast("long").alias("key"))
+    ranges = placed.where("num > 0").select("key_min", "key_max", "num", "before", F.col("before").alias("start"), (F.col("before") + F.col("num")).alias("end"))
+    width = ranges.agg(F.max("num")).first()[0] or 1  # an interval lies in two buckets at most
+    return covered(wanted, ranges, number_bucket(width), key="rank").select("rank", key.cast("long").alias("key"))
 
 
 def materialize(intervals: DataFrame) -> DataFrame:
@@ -160,17 +163,13 @@ def split_by_size(keys: DataFrame, key: str, size: Column, target: int, bounds:
 
     A file also ends at each boundary key (column ``at``) of ``bounds``.
     """
-    rows = keys.select(F.col(key).alias("key"), size.cast("long").alias("bytes"))
-    order = Window.orderBy("key")
-    upto = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = rows.withColumn("part", F.floor(upto / target))
-    if bounds is None:
-        cut = cut.withColumn("zone", F.lit(0))
-    else:
-        marks = cut.select("key", "bytes", "part", F.lit(0).alias("b")).unionByName(bounds.select(F.col("at").alias("key"), F.lit(0).cast("long").alias("bytes"), F.lit(None).cast("long").alias("part"), F.lit(1).alias("b")))
-        cut = marks.withColumn("zone", F.sum("b").over(Window.orderBy("key", F.desc("b")).rowsBetween(Window.unboundedPreceding, 0))).where("b = 0")
+    rows = keys.select(F.col(key).alias("key"), size.cast("long").alias("bytes"), F.lit(1).alias("real"))
+    if bounds is not None:  # a mark sorts before the row of its key
+        rows = rows.unionByName(bounds.select(F.col("at").alias("key"), F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("real")))
+    placed = ranks.running(rows, ["key", "real"], {"upto": F.col("bytes"), "zone": 1 - F.col("real")})
+    cut = placed.where("real = 1").withColumn("part", F.floor(F.col("upto") / target))
     files = cut.groupBy("zone", "part").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
-    return files.select(F.row_number().over(Window.orderBy("first")).alias("file"), "first", "last", "n", "bytes")
+    return ranks.ranked(files, ["first"], "file").select((F.col("file") + 1).alias("file"), "first", "last", "n", "bytes")
 
 
 class SizeModel:
@@ -193,6 +192,41 @@ class SizeModel:
     def estimate(self, n: int) -> int:
         return min(-(-n * self.rise // self.run) + self.base, self.LIMIT)
 
+    @classmethod
+    def fitted(cls, samples: DataFrame, entries: str, size: str) -> SizeModel:
+        """The model of measured files: the upper hull's line that lies least above all samples.
+
+        Samples are reduced to the largest size of each number of entries before they are collected;
+        of their upper hull (at most 4,096 numbers, spread evenly, the rest below a line) the pair
+        of neighbours is taken whose line has the least total excess.
+        """
+        per = samples.groupBy(F.col(entries).cast("long").alias("n")).agg(F.max(F.col(size).cast("long")).alias("b"))
+        low, high = per.agg(F.min("n"), F.max("n")).first()
+        if low is None or low == high:
+            raise ValueError("calibration needs two sizes")
+        slot = F.floor((F.col("n") - low) * 4095 / (high - low))
+        points = sorted((r.n, r.b) for r in per.groupBy(slot.alias("s")).agg(F.max_by("n", "b").alias("n"), F.max("b").alias("b")).collect())
+        ends = per.where(F.col("n").isin(low, high)).collect()
+        points = sorted(set(points) | {(r.n, r.b) for r in ends})
+        hull: list[tuple[int, int]] = []
+        for n, b in points:
+            while len(hull) > 1 and (hull[-1][1] - hull[-2][1]) * (n - hull[-2][0]) <= (b - hull[-2][1]) * (hull[-1][0] - hull[-2][0]):
+                hull.pop()
+            if not hull or n > hull[-1][0]:
+                hull.append((n, b))
+        best = None
+        for p, q in zip(hull, hull[1:]):
+            if q[1] < p[1]:
+                continue
+            line = cls([p, q])
+            over = sum(line.estimate(n) - b for n, b in points)
+            if all(line.estimate(n) >= b for n, b in points) and (best is None or over < best[0]):
+                best = over, line
+        if best is None:  # sizes fall throughout: the largest is never exceeded
+            top = max(b for _, b in points)
+            return cls([(low, top), (high, top)])
+        return best[1]
+
     def max_entries(self, size: int) -> int:
         """The most entries whose estimate is at most ``size``."""
         if size < self.estimate(0):

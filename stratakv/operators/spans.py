@@ -98,6 +98,17 @@ def newest_per_piece(spans: DataFrame) -> DataFrame:
 def islands(spans: DataFrame, by: list[str] | None = None, keep: bool = False) -> DataFrame:
     """Unions of overlapping or touching spans per group: (by, start, end), or the spans with ``island``."""
     by = by or []
+    if not by:  # one group may be the whole table: through key ranges, no single task
+        from . import ranks
+
+        marked = ranks.reach(spans, ["start", "end"], "end", "_reach")
+        starts = (F.col("_reach").isNull() | (F.col("start") > F.col("_reach"))).cast("int")
+        numbered = ranks.running(marked.withColumn("_new", starts), ["start", "end"], {"_before": F.col("_new")})
+        # equal spans share an island: only the first of them may start it
+        numbered = numbered.withColumn("island", F.col("_before") + F.col("_new")).drop("_reach", "_new", "_before")
+        if keep:
+            return numbered
+        return numbered.groupBy("island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
     order = Window.partitionBy(*by).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("_new", (reach.isNull() | (F.col("start") > reach)).cast("int"))

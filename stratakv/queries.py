@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 
 from . import log as L
 from .functions import scalar
-from .operators import aggregates, folds, kv, models, reconcile, spans, vectors, wide
+from .operators import aggregates, folds, kv, models, ranks, reconcile, spans, vectors, wide
 from .plans.session import Session
 from .sources import files
+from .storage import export
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,6 +67,9 @@ LOG = """log AS (SELECT 'default' AS cf, 'u' || lpad(CAST(user_id AS VARCHAR), 5
   CASE WHEN event_type = 'view' THEN CAST(floor(epoch(ts)) AS BIGINT) + 864000 END AS expire_at FROM events)"""
 
 
+MERGED = f"WITH {LOG}, b AS (SELECT *, coalesce(max(CASE WHEN kind <> 'MERGE' THEN seq END) OVER (PARTITION BY key), -1) AS base FROM log), k AS (SELECT * FROM b WHERE (kind = 'MERGE' AND seq > base) OR (kind = 'SET' AND seq = base)) "
+
+
 def event_session(spark, d) -> Session:
     s = Session(spark, clock=lambda: 1_706_745_600_000_000)
     s.register("events", read(spark, d, "events"), ["user_id"], ["ts", "event_id"], ["ts"])
@@ -144,15 +148,16 @@ def a13_snapshot_read(spark, d):
     return reconcile.newest(reconcile.snapshot(event_log(spark, d), 500)).select("key", "kind", "seq")
 
 
-@query(f"WITH {LOG} SELECT key, arg_max(value, seq) AS value, max(seq) AS seq FROM log WHERE ts <= 1704500000000 GROUP BY key")
+@query(MERGED.replace("FROM log)", "FROM (SELECT * FROM log WHERE ts <= 1704500000000))") + "SELECT key, CAST(sum(value) AS BIGINT) AS value FROM k GROUP BY key")
 def a14_as_of_read(spark, d):
-    return reconcile.newest(reconcile.as_of(event_log(spark, d), 1704500000000)).select("key", "value", "seq")
+    return reconcile.read_as_of(event_log(spark, d), 1704500000000, "uint64add").select("key", "value")
 
 
-@query(f"WITH {LOG} SELECT count(*) AS n, CAST(sum(length(key)) AS BIGINT) AS key_bytes FROM (SELECT key, arg_max(value, (ts, seq)) v FROM log WHERE ts <= 1705000000000 GROUP BY key)")
+@query(f"WITH {LOG} SELECT count(*) AS n, CAST(sum(length(key)) AS BIGINT) AS key_bytes, CAST(sum(length(CAST(v AS VARCHAR))) AS BIGINT) AS value_bytes FROM (SELECT key, arg_max(value, (ts, seq)) v FROM log WHERE ts <= 1705000000000 GROUP BY key HAVING arg_max(kind, (ts, seq)) <> 'DEL')")
 def a15_mvcc_scan(spark, d):
     rows = kv.mvcc_scan(event_log(spark, d), 1705000000000)
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("key")).cast("long").alias("key_bytes"))
+    size = lambda c: F.sum(F.octet_length(F.col(c).cast("string"))).cast("long")
+    return rows.agg(F.count(F.lit(1)).alias("n"), size("key").alias("key_bytes"), size("value").alias("value_bytes"))
 
 
 @query(f"WITH {LOG} SELECT key, seq, kind FROM log WHERE key BETWEEN 'u00003' AND 'u00005' ORDER BY key, seq DESC LIMIT 50")
@@ -183,9 +188,16 @@ def a22_partition_read(spark, d):
     return event_session(spark, d).execute("SELECT user_id, event_id, event_type FROM events WHERE user_id = 7")
 
 
-@query()
+@query("SELECT c_custkey, count(*) AS n FROM customer GROUP BY 1")
 def a23_token_range_read(spark, d):
-    return event_session(spark, d).execute("SELECT c_custkey, token(c_custkey) AS t FROM customer WHERE token(c_custkey) > -1000000000000000000 AND token(c_custkey) <= 1000000000000000000")
+    """Four token ranges cover the ring: every key is read by exactly one of them."""
+    s = event_session(spark, d)
+    cuts = [-(2**63), -(2**62), 0, 2**62, 2**63 - 1]
+    parts = [s.execute(f"SELECT c_custkey FROM customer WHERE token(c_custkey) > {a} AND token(c_custkey) <= {b}") for a, b in zip(cuts, cuts[1:])]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT event_id, ts, event_type FROM events WHERE user_id = 7 AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' ORDER BY ts DESC")
@@ -209,17 +221,8 @@ def a28_replay_filter(spark, d):
     return L.replay(event_log(spark, d), decide).select("key", "seq")
 
 
-@query("WITH t AS (SELECT event_id AS seq, CASE WHEN event_type = 'click' THEN 'seek' ELSE 'get' END AS op, CAST(user_id * 37 AS BIGINT) AS key FROM events WHERE event_id < 200) SELECT seq, op, key, CASE WHEN op = 'seek' THEN (SELECT min(o_orderkey) FROM orders WHERE o_orderkey >= key) ELSE (SELECT o_orderkey FROM orders WHERE o_orderkey = key) END AS found FROM t")
+@query("WITH t AS (SELECT event_id AS seq, CASE WHEN event_type = 'click' THEN 'seek' ELSE 'get' END AS op, CAST(user_id * 37 AS BIGINT) AS key FROM events) SELECT seq, op, key, CASE WHEN op = 'seek' OR o_orderkey = key THEN o_orderkey END AS found FROM t ASOF LEFT JOIN orders ON key <= o_orderkey")
 def a29_trace_replay(spark, d):
-    trace = read(spark, d, "events").where("event_id < 200").select(
-        F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", "seek").otherwise("get").alias("op"), (F.col("user_id") * 37).alias("key")
-    )
-    return files.replay(trace, order_view(spark, d)).select("seq", "op", "key", "found")
-
-
-@query()
-def a29_trace_replay_whole(spark, d):
-    """The trace of all events; a correlated subquery a row is too slow as an oracle."""
     trace = read(spark, d, "events").select(
         F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", "seek").otherwise("get").alias("op"), (F.col("user_id") * 37).alias("key")
     )
@@ -271,7 +274,6 @@ def b03_delete_range(spark, d):
     return reconcile.live(reconcile.without_covered(log, gone, bucket)).select("key", "value")
 
 
-MERGED = f"WITH {LOG}, b AS (SELECT *, coalesce(max(CASE WHEN kind <> 'MERGE' THEN seq END) OVER (PARTITION BY key), -1) AS base FROM log), k AS (SELECT * FROM b WHERE (kind = 'MERGE' AND seq > base) OR (kind = 'SET' AND seq = base)) "
 
 
 @query(MERGED + "SELECT key, CAST(sum(value) AS BIGINT) AS value FROM k GROUP BY key")
@@ -307,7 +309,7 @@ def f18_merge_sortlist(spark, d):
 
 @query(MERGED + "SELECT key, array_to_string(list_slice(list(value ORDER BY seq DESC), 1, 3), ',') AS value FROM k GROUP BY key")
 def h03_newest_three(spark, d):
-    return reconcile.merged(event_log(spark, d), folds.newest(3)).select("key", F.array_join("value", ",").alias("value"))
+    return reconcile.merged(event_log(spark, d), folds.newest(3), newest=3).select("key", F.array_join("value", ",").alias("value"))
 
 
 @query(f"WITH {LOG} SELECT key, CAST(sum(CASE WHEN kind = 'DEL' THEN -value ELSE value END) AS BIGINT) AS value FROM log GROUP BY key")
@@ -316,12 +318,12 @@ def b20_counter(spark, d):
     return deltas.groupBy("key").agg(folds.fold("counter")(F.col("value"), F.col("seq")).alias("value"))
 
 
-@query(f"WITH {LOG}, w AS (SELECT * FROM log WHERE seq >= 900), t AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM w), v AS (SELECT key, arg_max(value, seq) AS cur FROM log WHERE seq < 900 AND kind <> 'MERGE' GROUP BY key HAVING arg_max(kind, seq) <> 'DEL') SELECT t.key, t.seq, coalesce(v.cur < t.value, FALSE) AND n = 1 AS applied FROM t LEFT JOIN v ON t.key = v.key")
+@query(f"WITH RECURSIVE {LOG}, w AS (SELECT key, seq, value, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM log WHERE seq >= 900), v AS (SELECT key, arg_max(value, seq) AS cur FROM log WHERE seq < 900 AND kind <> 'MERGE' GROUP BY key HAVING arg_max(kind, seq) <> 'DEL'), t AS (SELECT w.key, seq, n, coalesce(cur < value, FALSE) AS applied, CASE WHEN cur < value THEN value ELSE cur END AS cur FROM w LEFT JOIN v ON w.key = v.key WHERE n = 1 UNION ALL SELECT w.key, w.seq, w.n, coalesce(t.cur < w.value, FALSE), CASE WHEN t.cur < w.value THEN w.value ELSE t.cur END FROM t JOIN w ON w.key = t.key AND w.n = t.n + 1) SELECT key, seq, applied FROM t")
 def b21_conditional_write(spark, d):
     log = event_log(spark, d)
     view = reconcile.live(reconcile.snapshot(log, 899).where("kind != 'MERGE'"))
     pending = log.where("seq >= 900").select("key", "seq", "value")
-    return L.conditional(pending, view, F.col("current") < F.col("value")).select("key", "seq", "applied")
+    return L.conditional(pending, view, "current < value").select("key", "seq", "applied")
 
 
 @query(f"WITH {LOG} SELECT DISTINCT key FROM log WHERE seq BETWEEN 100 AND 140 AND key IN (SELECT key FROM log WHERE seq > 9000)")
@@ -407,9 +409,10 @@ def d22_ttl_live(spark, d):
     return e.where(~reconcile.expired(1705500000)).select("event_id")
 
 
-@query(f"WITH {LOG} SELECT key, kind FROM (SELECT key, arg_max(kind, seq) AS kind, arg_max(ts, seq) AS ts FROM log GROUP BY key) WHERE NOT (kind = 'DEL' AND ts < 1706500000000)")
+@query(MERGED + "SELECT key, count(*) AS n, max(seq) AS newest FROM (SELECT key, seq, kind, ts FROM b WHERE seq >= base) WHERE NOT (kind = 'DEL' AND ts < 1706500000000) GROUP BY key")
 def d23_tombstone_purge(spark, d):
-    return reconcile.compact(event_log(spark, d), gc_before=1706500000000).select("key", "kind")
+    left = reconcile.compact(event_log(spark, d), gc_before=1706500000000)
+    return left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("newest"))
 
 
 @query("SELECT user_id % 20 AS prefix, event_id AS suffix FROM events WHERE NOT EXISTS (SELECT 1 FROM (VALUES (2, 9, 4000), (5, 12, 6000), (15, 18, 9000)) s(lo, hi, suf) WHERE suf <= 8000 AND user_id % 20 >= lo AND user_id % 20 < hi AND event_id < suf)")
@@ -432,18 +435,18 @@ def d31_duplicate_rows(spark, d):
 # --- E: merges of sources ----------------------------------------------------------------------------------
 
 def families(spark, d) -> tuple[DataFrame, DataFrame]:
-    c = read(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), wide.entity(name=F.col("c_name"), nation=F.col("c_nationkey")).alias("columns"))
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("key"), wide.entity(name=F.col("c_name"), nation=F.col("c_nationkey")).alias("columns"))
     s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), wide.entity(name=F.col("s_name"), balance=F.lit("b")).alias("columns"))
     return c, s
 
 
-@query("SELECT coalesce(c_custkey, s_suppkey) AS key, coalesce(c_name, s_name) AS name, CAST(c_nationkey AS VARCHAR) AS nation, CASE WHEN s_suppkey IS NOT NULL THEN 'b' END AS balance FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) FULL JOIN supplier ON c_custkey = s_suppkey")
+@query("SELECT coalesce(c_custkey, s_suppkey) AS key, coalesce(c_name, s_name) AS name, CAST(c_nationkey AS VARCHAR) AS nation, CASE WHEN s_suppkey IS NOT NULL THEN 'b' END AS balance FROM customer FULL JOIN supplier ON c_custkey = s_suppkey")
 def e03_coalesced_columns(spark, d):
     out = wide.coalesced(families(spark, d))
     return out.select("key", *(wide.column_of("columns", c).alias(c) for c in ("name", "nation", "balance")))
 
 
-@query("SELECT coalesce(c_custkey, s_suppkey) AS key, c_name AS first, s_name AS second FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) FULL JOIN supplier ON c_custkey = s_suppkey")
+@query("SELECT coalesce(c_custkey, s_suppkey) AS key, c_name AS first, s_name AS second FROM customer FULL JOIN supplier ON c_custkey = s_suppkey")
 def e04_attribute_groups(spark, d):
     a, b = families(spark, d)
     out = wide.grouped({"a": a, "b": b})
@@ -458,26 +461,21 @@ def e05_secondary_index(spark, d):
     return wide.lookup(v, wide.index(v, "c_mktsegment"), "BUILDING").select("key", "c_name")
 
 
-@query("SELECT user_id, event_id, c_name FROM events LEFT JOIN customer ON c_custkey = user_id WHERE event_id < 500")
-def e08_static_columns(spark, d):
-    rows = read(spark, d, "events").where("event_id < 500").select("user_id", "event_id")
-    statics = read(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
-    return wide.attach_static(rows, statics, ["user_id"]).where("event_id is not null")
-
-
 @query("SELECT user_id, event_id, c_name FROM events LEFT JOIN customer ON c_custkey = user_id")
-def e08_static_columns_whole(spark, d):
+def e08_static_columns(spark, d):
     rows = read(spark, d, "events").select("user_id", "event_id")
     statics = read(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
     return wide.attach_static(rows, statics, ["user_id"]).where("event_id is not null")
 
 
-@query("SELECT a, b FROM (SELECT bit_xor(o_orderkey) AS a, count(*) AS b FROM orders)")
+@query("SELECT o_orderpriority AS part, count(*) AS n, CAST(count(*) FILTER (WHERE o_orderkey % 1000 = 7) AS BIGINT) > 0 AS differs FROM orders GROUP BY 1")
 def e07_replica_digest(spark, d):
+    """Digests of two replicas by part; one replica has other prices on some keys and another order of rows."""
     o = read(spark, d, "orders")
-    one, two = (reconcile.digest(x, ["o_orderkey", "o_totalprice"]) for x in (o, o.orderBy(F.desc("o_totalprice"))))
-    same = one.join(two, ["digest", "n"]).select(F.col("n").alias("b"))
-    return same.join(o.agg(F.bit_xor("o_orderkey").alias("a"))).select("a", "b")
+    other = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 1000 == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))).repartition(3, "o_custkey")
+    h = F.bit_xor(F.xxhash64("o_orderkey", "o_totalprice"))
+    one, two = (x.groupBy(F.col("o_orderpriority").alias("part")).agg(h.alias(n), F.count(F.lit(1)).alias(f"n_{n}")) for x, n in ((o, "a"), (other, "b")))
+    return one.join(two, "part").select("part", F.col("n_a").alias("n"), (F.col("a") != F.col("b")).alias("differs"))
 
 
 @query("SELECT e.event_id, s.i AS span FROM events e JOIN (VALUES (0, 3, 11), (1, 8, 40), (2, 100, 101)) s(i, lo, hi) ON user_id >= lo AND user_id < hi")
@@ -517,33 +515,45 @@ def f25_exact_distinct(spark, d):
     return read(spark, d, "orders").agg(aggregates.exact_distinct("o_custkey").alias("n"))
 
 
-@query("SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
+@query("SELECT event_type, TRUE AS close, TRUE AS estimated FROM events GROUP BY 1")
 def f26_sketch_distinct(spark, d):
-    return aggregates.sketch_distinct(read(spark, d, "events"), "user_id", ["event_type"])
+    """Sketches of 64 entries: estimates within three standard errors of the exact count."""
+    e = read(spark, d, "events")
+    sketch = aggregates.sketch_distinct(e, "event_id", ["event_type"], log_size=6)
+    exact = e.groupBy("event_type").agg(F.count_distinct("event_id").alias("exact"))
+    off = F.abs(F.col("n") - F.col("exact")) / F.col("exact")
+    return sketch.join(exact, "event_type").select("event_type", (off < 0.375).alias("close"), (F.col("exact") > 64).alias("estimated"))
 
 
-@query("SELECT count(DISTINCT user_id) AS n FROM events")
+@query("SELECT count(DISTINCT user_id) AS n, TRUE AS close FROM events")
 def f26_sketch_union(spark, d):
-    return aggregates.sketch_union(read(spark, d, "events"), "user_id", ["event_type"])
+    """The union of the types' sketches counts users once; with few entries it is an estimate of events."""
+    e = read(spark, d, "events")
+    users = aggregates.sketch_union(e, "user_id", ["event_type"])
+    some = aggregates.sketch_union(e, "event_id", ["event_type"], log_size=8).withColumnRenamed("n", "some")
+    return users.join(some).join(e.agg(F.count_distinct("event_id").alias("all"))).select("n", (F.abs(F.col("some") - F.col("all")) < 0.1875 * F.col("all")).alias("close"))
 
 
-@query("SELECT o_orderkey AS key, TRUE AS within FROM orders")
+@query("SELECT l_linenumber AS model, count(DISTINCT l_partkey) AS n, TRUE AS close FROM lineitem GROUP BY 1")
 def f27_rank_model(spark, d):
-    """Every key's rank by the fitted model lies within the error of the exact rank."""
-    keys = read(spark, d, "orders").select(F.lit(0).cast("long").alias("model"), F.col("o_orderkey").cast("double").alias("key"))
+    """Of each model: its number of keys, and whether all keys' ranks by the model are within the error of the exact rank."""
+    keys = read(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("model"), F.col("l_partkey").cast("double").alias("key")).distinct()
     segments = models.fit_plr(keys, "model", "key", error=2.0)
-    from pyspark.sql import Window
-
-    exact = keys.withColumn("exact", F.row_number().over(Window.partitionBy("model").orderBy("key")) - 1)
-    got = models.predict(keys, segments).join(exact, ["model", "key"])
-    return got.select(F.col("key").cast("long").alias("key"), (F.abs(F.col("rank") - F.col("exact")) <= 2.001).alias("within"))
+    got = models.predict(keys, segments).join(ranks.ranked(keys, ["key"], "exact", ["model"]), ["model", "key"])
+    sizes = segments.groupBy("model").agg(F.max("n").alias("n"))
+    worst = got.groupBy("model").agg(F.max(F.abs(F.col("rank") - F.col("exact"))).alias("worst"))
+    return sizes.join(worst, "model").select("model", "n", (F.col("worst") <= 2.001).alias("close"))
 
 
-@query("WITH r AS (SELECT o_orderkey AS rank FROM orders WHERE o_orderkey < 14) SELECT rank, CASE WHEN rank < 4 THEN 10 + (rank * 10) // 4 WHEN rank < 7 THEN 30 + ((rank - 4) * 10) // 3 ELSE 100 + (rank - 7) END AS key FROM r")
+@query("WITH r AS (SELECT o_orderkey AS rank, o_orderkey // 1000 AS i, o_orderkey % 1000 AS p FROM orders) SELECT rank, CAST(i * 5000 + (p * (1000 + i % 7 * 500)) // 1000 AS BIGINT) AS key FROM r")
 def f30_discrete_ranks(spark, d):
-    ranks = read(spark, d, "orders").where("o_orderkey < 14").select(F.col("o_orderkey").alias("rank"))
-    intervals = spark.createDataFrame([(10, 19, 4), (30, 39, 3), (100, 106, 7)], "key_min long, key_max long, num long")
-    return models.select_ranks(ranks, intervals)
+    """Keys of all ranks: interval i holds 1000 keys spread over a width of its own."""
+    wanted = read(spark, d, "orders").select(F.col("o_orderkey").alias("rank"))
+    starts = wanted.select(F.floor(F.col("rank") / 1000).alias("i"))
+    n = starts.agg(F.max("i")).first()[0]
+    i = F.col("id")
+    intervals = spark.range((n or 0) + 1).select((i * 5000).alias("key_min"), (i * 5000 + 999 + i % 7 * 500).alias("key_max"), F.lit(1000).cast("long").alias("num"))
+    return models.select_ranks(wanted, intervals)
 
 
 @query("WITH k AS (SELECT o_orderkey AS key, 100 + o_orderkey % 50 AS b, coalesce(sum(100 + o_orderkey % 50) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM orders) SELECT row_number() OVER (ORDER BY min(key)) AS file, min(key) AS first, max(key) AS last, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes FROM k GROUP BY floor(upto / 100000)")
@@ -599,9 +609,7 @@ def g30_collections(spark, d):
 
 @query("SELECT o_orderkey AS key, row_number() OVER (ORDER BY o_orderkey) - 1 AS rank FROM orders")
 def h05_key_rank(spark, d):
-    from pyspark.sql import Window
-
-    return read(spark, d, "orders").select(F.col("o_orderkey").alias("key"), (F.row_number().over(Window.orderBy("o_orderkey")) - 1).cast("long").alias("rank"))
+    return ranks.ranked(read(spark, d, "orders").select(F.col("o_orderkey").alias("key")), ["key"])
 
 
 @query("SELECT c_custkey FROM customer WHERE c_nationkey = 3 UNION SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
@@ -637,15 +645,8 @@ def n06_coverage(spark, d):
     return spans.coverage(r, ["g"])
 
 
-@query("WITH o AS (SELECT l_orderkey AS job, l_suppkey AS key_min, l_suppkey + l_linenumber AS key_max, CAST(l_quantity AS BIGINT) AS entries FROM lineitem WHERE l_orderkey < 500), m AS (SELECT *, CASE WHEN key_min <= lag(key_max) OVER (PARTITION BY job ORDER BY key_min, key_max, entries) THEN 1 ELSE 0 END AS ov FROM o), j AS (SELECT o_orderkey AS job, o_orderkey % 4 AS level, 100 + o_orderkey % 10 AS given, 40 AS cap FROM orders WHERE o_orderkey < 500), p AS (SELECT j.job, level, given, coalesce(sum(entries), 0) AS made, sum(CASE WHEN entries > cap THEN 1 ELSE 0 END) AS over_ FROM j LEFT JOIN m USING (job) GROUP BY 1, 2, 3) SELECT level, CAST(sum(given) AS BIGINT) AS given, CAST(sum(made) AS BIGINT) AS made, CAST(sum(CASE WHEN given <> made THEN 1 ELSE 0 END) AS BIGINT) AS unbalanced, CAST(sum(over_) AS BIGINT) AS over_capacity FROM p GROUP BY 1")
-def n07_ledger(spark, d):
-    outputs = read(spark, d, "lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").alias("job"), F.col("l_suppkey").alias("key_min"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("key_max"), F.col("l_quantity").cast("long").alias("entries"))
-    jobs = read(spark, d, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("job"), (F.col("o_orderkey") % 4).alias("level"), (100 + F.col("o_orderkey") % 10).alias("entries"), F.lit(40).alias("capacity"))
-    return files.ledger(jobs, outputs).select("level", "given", "made", "unbalanced", "over_capacity")
-
-
 @query("WITH o AS (SELECT l_orderkey AS job, l_suppkey AS key_min, l_suppkey + l_linenumber AS key_max, CAST(l_quantity AS BIGINT) AS entries FROM lineitem), m AS (SELECT *, CASE WHEN key_min <= lag(key_max) OVER (PARTITION BY job ORDER BY key_min, key_max, entries) THEN 1 ELSE 0 END AS ov FROM o), j AS (SELECT o_orderkey AS job, o_orderkey % 4 AS level, 100 + o_orderkey % 10 AS given, 40 AS cap FROM orders), p AS (SELECT j.job, level, given, coalesce(sum(entries), 0) AS made, sum(CASE WHEN entries > cap THEN 1 ELSE 0 END) AS over_ FROM j LEFT JOIN m USING (job) GROUP BY 1, 2, 3) SELECT level, CAST(sum(given) AS BIGINT) AS given, CAST(sum(made) AS BIGINT) AS made, CAST(sum(CASE WHEN given <> made THEN 1 ELSE 0 END) AS BIGINT) AS unbalanced, CAST(sum(over_) AS BIGINT) AS over_capacity FROM p GROUP BY 1")
-def n07_ledger_whole(spark, d):
+def n07_ledger(spark, d):
     outputs = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("job"), F.col("l_suppkey").alias("key_min"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("key_max"), F.col("l_quantity").cast("long").alias("entries"))
     jobs = read(spark, d, "orders").select(F.col("o_orderkey").alias("job"), (F.col("o_orderkey") % 4).alias("level"), (100 + F.col("o_orderkey") % 10).alias("entries"), F.lit(40).alias("capacity"))
     return files.ledger(jobs, outputs).select("level", "given", "made", "unbalanced", "over_capacity")
@@ -677,10 +678,14 @@ def m10_cache_simulation(spark, d):
     return files.simulate_cache(trace, 40, by="event_type")
 
 
-@query("SELECT count(*) AS n, count(DISTINCT seq) AS seqs FROM (SELECT range AS seq FROM range(5000))")
+@query("SELECT 'insert' AS op, TRUE AS share, TRUE AS low UNION ALL SELECT 'scan', TRUE, TRUE")
 def n11_workload(spark, d):
-    w = files.workload(spark, 5000, files.MIXES["A"], 1000, zipf=0.9)
-    return w.where("op in ('read', 'update') and key_id between 0 and 999").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("seq").alias("seqs"))
+    """The scan mix: shares of operations near their weights (95, 5), and Zipf keys that favour low ids."""
+    w = files.workload(spark, 40_000, files.MIXES["E"], 1000, zipf=0.9)
+    by = w.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("key_id") < 10).cast("int")).alias("low"))
+    want = F.when(F.col("op") == "scan", 0.95).otherwise(0.05)
+    # a key is below 10 with chance (10 / 1000) ^ 0.1
+    return by.select("op", (F.abs(F.col("n") / 40_000 - want) < 0.01).alias("share"), (F.abs(F.col("low") - 0.631) < 0.05).alias("low"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT k) AS unique_keys FROM (SELECT CASE WHEN range < 10000 THEN range ELSE range - 10000 END AS k FROM range(20000))")
@@ -689,12 +694,14 @@ def a33_load_trace(spark, d):
     return t.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key_id").alias("unique_keys"))
 
 
-@query("SELECT o_orderkey AS key, crc FROM (SELECT o_orderkey, TRUE AS crc FROM orders)")
+@query("SELECT s_suppkey AS key, CAST(s_suppkey % 10 = 3 AS BOOLEAN) AS damaged FROM supplier")
 def m11_checksums(spark, d):
-    """The checksum of a row read twice is the same."""
-    o = read(spark, d, "orders").withColumnRenamed("o_orderkey", "key")
-    a, b = (files.checksum(x, ["key", "o_totalprice"]).select("key", "crc") for x in (o, o))
-    return a.join(b.withColumnRenamed("crc", "again"), "key").select("key", (F.col("crc") == F.col("again")).alias("crc"))
+    """Rows whose stored checksum does not fit: those that were changed after it was taken."""
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("value"))
+    stored = export(files.checksum(s, ["key", "value"]), "checked")
+    hurt = stored.withColumn("value", F.when(F.col("key") % 10 == 3, F.concat("value", F.lit("x"))).otherwise(F.col("value")))
+    again = files.checksum(hurt.withColumnRenamed("crc", "was"), ["key", "value"])
+    return again.select("key", (F.col("crc") != F.col("was")).alias("damaged"))
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT user_id, event_id, event_type FROM events WHERE user_id = 7 UNION ALL SELECT 7, 1000000, 'written') WHERE event_id <> (SELECT min(event_id) FROM events WHERE user_id = 7)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator, Sequence
 
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import ranks, reconcile
+
 #: Bytes of a load trace's header; 64-bit little-endian key ids follow.
 TRACE_HEADER = 88
 
@@ -39,7 +42,7 @@ def read_trace(spark: SparkSession, path: str, magic: bytes = b"VLOADTR1") -> Da
 def generate_trace(spark: SparkSession, n: int, unique_ratio: float = 1.0, alpha: float = 0.0, seed: int = 1) -> DataFrame:
     """(seq, key_id) of n writes over n * unique_ratio keys: shuffled, uniform, or Zipf-like for alpha in (0, 1).
 
-    With ratio 1 every key is written once, in hashed order. Zipf ids come from the inverse of the
+    With ratio 1 every key is written once, in steps of the golden section of n. Zipf ids come from the inverse of the
     continuous rank distribution.
     """
     keys = max(1, round(n * unique_ratio))
@@ -48,7 +51,8 @@ def generate_trace(spark: SparkSession, n: int, unique_ratio: float = 1.0, alpha
     if alpha > 0:
         key = F.floor(F.lit(float(keys)) * F.pow(u, F.lit(1 / (1 - alpha))))
     elif keys == n:
-        return rows.withColumn("key_id", F.row_number().over(Window.orderBy(F.xxhash64("seq", F.lit(seed)))).cast("long") - 1) if n <= 1_000_000 else rows.withColumn("key_id", F.pmod(F.col("seq") * F.lit(_coprime(n)) + seed, F.lit(n)))
+        spread = (F.col("seq").cast("decimal(38,0)") * F.lit(_coprime(n)) + seed) % F.lit(n)
+        return rows.withColumn("key_id", spread.cast("long"))
     else:
         # the first pass covers every key once, so the unique count is exact
         key = F.when(F.col("seq") < keys, F.col("seq")).otherwise(F.floor(u * keys))
@@ -84,23 +88,48 @@ MIXES = {"A": {"read": 50, "update": 50}, "B": {"read": 95, "update": 5}, "C": {
 def replay(trace: DataFrame, view: DataFrame) -> DataFrame:
     """Results of a read trace (seq, op, key): get and multiget find a key, seek the next one at or after.
 
-    Seeks are one ordered pass over keys and trace together.
+    Seeks go through key ranges of keys and trace together, each range a task.
     """
     gets = trace.where(F.col("op").isin("get", "multiget", "read")).join(view.select("key", "value"), "key", "left")
-    points = trace.where(F.col("op") == "seek").select(F.col("key").alias("at"), "seq", "op", "key", F.lit(1).alias("q"), F.lit(None).cast(view.schema["key"].dataType).alias("found"))
-    keys = view.select(F.col("key").alias("at"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("op"), F.lit(None).cast(view.schema["key"].dataType).alias("key"), F.lit(0).alias("q"), F.col("key").alias("found"))
-    nxt = F.first("found", ignorenulls=True).over(Window.orderBy("at", F.desc("q")).rowsBetween(0, Window.unboundedFollowing))
-    seeks = points.unionByName(keys).withColumn("next", nxt).where("q = 1").join(view.select(F.col("key").alias("next"), "value"), "next", "left")
+    asked = trace.where(F.col("op") == "seek").select("seq", "op", "key")
+    seeks = ranks.following(asked, view.select(F.col("key").alias("found")), "key", "found", "next")
+    seeks = seeks.join(view.select(F.col("key").alias("next"), "value"), "next", "left")
     return gets.select("seq", "op", "key", F.when(F.col("value").isNotNull(), F.col("key")).alias("found"), "value").unionByName(seeks.select("seq", "op", "key", F.col("next").alias("found"), "value"))
 
 
-def dump(view: DataFrame, path: str) -> None:
-    """Sorted export as Parquet files."""
-    view.repartitionByRange(F.col("key")).sortWithinPartitions("key").write.parquet(path)
+#: Version of the dump format, 8 bytes big-endian after the magic.
+DUMP_VERSION = 1
+
+
+def dump(view: DataFrame, path: str, magic: bytes, info: dict | None = None) -> None:
+    """Writes (key, value) as one dump file, sorted by key: the inverse of ``read_dump``.
+
+    The file is one stream, so it is written by the driver through Spark's file system layer; rows
+    come partition by partition, in the binary form that tasks give them, and are never all held.
+    """
+    spark = view.sparkSession
+    rows = view.select(F.col("key").cast("binary").alias("key"), F.coalesce(F.col("value").cast("binary"), F.lit(b"")).alias("value"))
+    ordered = rows.repartitionByRange("key").sortWithinPartitions("key")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            slices = (x for pair in zip(pdf["key"], pdf["value"], strict=True) for x in map(bytes, pair))
+            yield pd.DataFrame({"content": [b"".join(struct.pack("<I", len(x)) + x for x in slices)]})
+
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, False)
+    try:
+        head = json.dumps(info or {}, sort_keys=True).encode()
+        out.write(bytearray(magic + struct.pack(">Q", DUMP_VERSION) + struct.pack("<I", len(head)) + head))
+        for row in ordered.mapInPandas(pack, "content binary").toLocalIterator():
+            out.write(bytearray(row["content"]))
+    finally:
+        out.close()
 
 
 def read_dump(spark: SparkSession, path: str, magic: bytes) -> DataFrame:
-    """(key, value) of dumps: magic, JSON header and its length, then length-prefixed keys and values."""
+    """(key, value) of dumps: magic, version, length and text of a JSON header, then length-prefixed keys and values."""
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,7 +137,9 @@ def read_dump(spark: SparkSession, path: str, magic: bytes) -> DataFrame:
             for content in map(bytes, pdf["content"]):
                 if not content.startswith(magic):
                     raise ValueError("no dump")
-                at = len(magic)
+                at = len(magic) + 8
+                if int.from_bytes(content[at - 8 : at], "big") != DUMP_VERSION:
+                    raise ValueError("no dump of a known version")
                 (n,) = struct.unpack_from("<I", content, at)
                 at += 4 + n
                 slices = []
@@ -140,8 +171,10 @@ def ingest(log: DataFrame, external: DataFrame, seq: int) -> DataFrame:
 
 
 def file_properties(df: DataFrame) -> DataFrame:
-    """Per source file: rows, first and last key, bytes, and the share of deletes."""
+    """Per source file: rows, first and last key, bytes, and the share of deletes (0 without ``kind``)."""
+    deleted = F.col("kind").isin("DEL", "SINGLEDEL") if "kind" in df.columns else F.lit(False)
     return df.withColumn("file", F.input_file_name()).groupBy("file").agg(
+        (F.count_if(deleted) / F.count(F.lit(1))).alias("deletes"),
         F.count(F.lit(1)).alias("n"), F.min("key").alias("first"), F.max("key").alias("last"),
         F.sum(F.octet_length(F.col("key").cast("string"))).alias("key_bytes"),
     )
@@ -152,6 +185,80 @@ def checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumn("crc", F.crc32(F.concat_ws("\0", *(F.col(c).cast("string") for c in columns)).cast("binary")))
 
 
+def io_trace(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(at, op, file, latency, offset, length) of an I/O trace's lines of ``name: value`` fields, comma-separated."""
+    fields = F.str_to_map(F.regexp_replace(column, r"\s*([,:])\s*", "$1"), F.lit(","), F.lit(":"))
+    get = lambda name, kind: F.try_element_at(fields, F.lit(name)).try_cast(kind)
+    names = {"at": ("Access Time", "long"), "op": ("File Operation", "string"), "file": ("File Name", "string"), "latency": ("Latency", "long"), "offset": ("Offset", "long"), "length": ("Length", "long")}
+    return lines.select(*(get(n, k).alias(c) for c, (n, k) in names.items())).where("op is not null")
+
+
+def cache_trace(accesses: DataFrame, path: str) -> None:
+    """Writes block accesses (at, block, size, hit) as a trace in order of time, one line each."""
+    line = F.concat_ws(",", F.col("at").cast("string"), F.col("block").cast("string"), F.col("size").cast("string"), F.col("hit").cast("int").cast("string"))
+    accesses.repartitionByRange("at", "block").sortWithinPartitions("at", "block").select(line.alias("value")).write.text(path)
+
+
+def read_cache_trace(spark: SparkSession, path: str) -> DataFrame:
+    """The accesses of a trace."""
+    return spark.read.schema("at long, block string, size long, hit int").csv(path).withColumn("hit", F.col("hit") == 1)
+
+
+class Backups:
+    """Incremental backups of a view: each holds the rows that are new or changed since the one before.
+
+    A manifest table names every backup's keys that went; restore takes the newest row of each key.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "key"):
+        self.spark, self.path, self.key, self.numbers = spark, path.rstrip("/"), key, []
+
+    def create(self, view: DataFrame) -> int:
+        """Writes a backup and returns its number."""
+        number = len(self.numbers)
+        rest = [c for c in view.columns if c != self.key]
+        now = view.select(self.key, F.struct(*rest).alias("row"), F.xxhash64(*rest).alias("h"))
+        if number:
+            old = self._newest(number - 1).where("not gone").select(self.key, F.col("h").alias("old"))
+            both = now.join(old, self.key, "full").where("h is null or old is null or h <> old")
+        else:
+            both = now.withColumn("old", F.lit(None).cast("long"))
+        both.select(self.key, "row", "h", F.col("h").isNull().alias("gone"), F.lit(number).alias("number")).write.parquet(f"{self.path}/{number}")
+        self.numbers.append(number)
+        return number
+
+    def _newest(self, number: int) -> DataFrame:
+        every = self.spark.read.parquet(*(f"{self.path}/{n}" for n in self.numbers if n <= number))
+        top = every.groupBy(self.key).agg(F.max_by(F.struct("row", "h", "gone"), "number").alias("t"))
+        return top.select(self.key, "t.row", "t.h", "t.gone")
+
+    def restore(self, number: int) -> DataFrame:
+        """The view as it was at a backup."""
+        return self._newest(number).where("not gone").select(self.key, "row.*")
+
+
+def follower(spark: SparkSession, path: str, schema, upto: int | None = None) -> DataFrame:
+    """A read-only instance over another's log folder: the newest state of what lies there now.
+
+    Calling it again catches up; ``upto`` stays at a sequence number.
+    """
+    log = spark.read.schema(schema).parquet(path)
+    return reconcile.live(log if upto is None else reconcile.snapshot(log, upto))
+
+
+def moving_average(samples: DataFrame, value: str, order: Sequence[str], by: Sequence[str], alpha: float = 0.002) -> DataFrame:
+    """(by, average): exponential moving average of each group's samples in order; the first one starts it.
+
+    The weight of sample i of n is alpha (1 - alpha)^(n - i), and (1 - alpha)^(n - 1) for the first:
+    a weighted sum, so no task folds a group's samples in turn.
+    """
+    placed = ranks.ranked(samples.select(*by, *order, value), list(order), "_i", by)
+    last = placed.groupBy(*by).agg(F.max("_i").alias("_n"))
+    left = F.col("_n") - F.col("_i")
+    weight = F.pow(F.lit(1 - alpha), left) * F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+    return placed.join(last, list(by)).groupBy(*by).agg(F.sum(F.col(value) * weight).alias("average"))
+
+
 # --- text logs -----------------------------------------------------------------------------------
 
 def parse_lines(lines: DataFrame, fields: dict[str, tuple[str, str]], column: str = "value") -> DataFrame:

@@ -5,7 +5,7 @@ import datetime as dt
 import duckdb
 import pytest
 
-from stratakv import queries, queries_more  # noqa: F401
+from stratakv import queries, queries_more, queries_rows  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -40,16 +40,6 @@ def test_query(spark, duck, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
-def test_whole_trace_against_brute_force(spark, duck):
-    keys = sorted(k for (k,) in duck.sql("SELECT o_orderkey FROM orders").fetchall())
-    want = []
-    for seq, kind, user in duck.sql("SELECT event_id, event_type, user_id FROM events").fetchall():
-        op, key = "seek" if kind == "click" else "get", user * 37
-        want.append((seq, op, key, next((k for k in keys if (k >= key if op == "seek" else k == key)), None)))
-    got = queries.QUERIES["a29_trace_replay_whole"](spark, SF).select("seq", "op", "key", "found").collect()
-    assert sorted(map(tuple, got)) == sorted(want)
-
-
 @pytest.mark.parametrize("sf", ["0.001", "0.01"])
 def test_inverted_lists_recall(spark, sf):
     d = f"/root/testdata/sf{sf}"
