@@ -12,11 +12,14 @@ def _text(value: str) -> str:
 
 
 def _canonical(x: str) -> str:
-    out = f"translate(regexp_replace({x}, {_text(licenses.COPYRIGHT_LINE)}, '', 'g'), '{UPPER}', '{LOWER}')"
-    out = f"' ' || trim(regexp_replace({out}, {_text(licenses.SEPARATORS)}, ' ', 'g'), ' ') || ' '"
-    for other, one in licenses.SPELLINGS.items():
-        out = f"replace({out}, ' {other} ', ' {one} ')"
-    return f"trim({out}, ' ')"
+    """Words as a list: copyright lines out, a word table, then phrases over pairs of words each in spaces of its own."""
+    kept = f"array_to_string(list_filter(string_split({x}, chr(10)), lambda l: NOT regexp_matches(l, {_text(licenses.COPYRIGHT_LINE)})), chr(10))"
+    words = f"list_filter(regexp_split_to_array(translate({kept}, '{UPPER}', '{LOWER}'), {_text(licenses.SEPARATORS)}), lambda w: w <> '')"
+    table = "MAP {" + ", ".join(f"{_text(a)}: {_text(b)}" for a, b in licenses.WORDS.items()) + "}"
+    out = f"' ' || array_to_string(list_transform({words}, lambda w: coalesce({table}[w], w)), '  ') || ' '"
+    for other, one in licenses.PHRASES.items():
+        out = f"replace({out}, {_text(' ' + other.replace(' ', '  ') + ' ')}, {_text(' ' + one.replace(' ', '  ') + ' ')})"
+    return f"trim(regexp_replace({out}, ' +', ' ', 'g'), ' ')"
 
 
 def _licences() -> str:

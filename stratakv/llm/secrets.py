@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import count_where, join_spans, materialize, text_or_empty, with_spans
+from .common import bounded_broadcast, count_where, join_spans, materialize, text_or_empty, with_spans
 
 # The patterns of the base kinds, with possessive quantifiers wherever what follows
 # can't start with a character of the class, so that no text makes them backtrack.
@@ -26,14 +26,22 @@ BASE = {
 #: Kinds that the method adds when they look live: key files, signed web tokens, vendor tokens,
 #: passwords in addresses, long mixed-case random words.
 EXTRA = {
-    "pem": r"-----BEGIN (?:[A-Z]++ )*+PRIVATE KEY-----",
+    "pem": r"-----BEGIN (?:(?!PRIVATE )[A-Z]++ )*+PRIVATE KEY-----(?:[^-]++|-(?!----))*+-----END (?:(?!PRIVATE )[A-Z]++ )*+PRIVATE KEY-----",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
     "vendor": r"(?:gh[opusr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|[rs]k_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{30,}+)",
-    "basic": r"://[^\s:/@]{1,64}+:[^\s:/@]{6,64}+@",
+    "basic": r"://[^\s:/@]++:[^\s:/@]{6,}+@",
     "random": r"(?<![A-Za-z0-9+/_=-])(?!gh[opusr]_|eyJ|AIza|[rs]k_live_|xox)[A-Za-z0-9+/_-]{32,}+",
 }
 #: The part of an assignment that is the value.
 ASSIGNED = r"""[:=]\x20*+["']?+([A-Za-z0-9+/_.=-]++)$"""
+#: The body of a key file.
+KEY_BODY = r"(?s)^-----[^-]++-----(.*)-----[^-]++-----$"
+#: Characters whose kinds are counted in a value, besides all beyond ASCII, which count as one.
+PRINTABLE = "".join(map(chr, range(0x21, 0x7F)))
+#: Uses of a value beyond which its statistics go to its occurrences by broadcast and not by its key.
+HOT_USES = 10_000
+#: Most rows of such hot values that are broadcast (about 60 bytes each).
+BROADCAST_VALUES = 1_000_000
 #: Words of values that are placeholders wherever they stand.
 PLACEHOLDER = r"(?i)example|changeme|placeholder|dummy|your[_-]|xxxx|0000000|1234567|abcdefg|redacted|sample"
 
@@ -46,16 +54,29 @@ class Ownership:
     distinct_chars: int = 8
 
 
+def _key(span: Column) -> Column:
+    """The body of a key file without spaces and line ends, so copies wrapped otherwise are equal."""
+    return F.regexp_replace(F.regexp_extract(span["value"], KEY_BODY, 1), r"\s+", "")
+
+
+def _kinds(value: Column) -> Column:
+    """How many different characters a value has."""
+    seen = F.filter(F.array(*(F.lit(c) for c in PRINTABLE)), lambda c: F.contains(value, c))
+    return F.size(seen) + value.rlike(r"[^\x00-\x7F]").cast("int")
+
+
 def _candidates(kind: str, base: bool, order: int, column: str) -> Column:
     """Spans of a kind that pass its check, as (start, order, kind, end, base, value)."""
     c = F.col(column)
     checks = {
         "assign": lambda s: F.length(F.regexp_extract(s["value"], ASSIGNED, 1)) >= 12,
         "access": lambda s: F.length(s["value"]) >= 18,
+        "pem": lambda s: F.length(_key(s)) >= 16,
         "random": lambda s: s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]") & s["value"].rlike("[0-9]"),
     }
     values = {
         "assign": lambda s: F.regexp_extract(s["value"], ASSIGNED, 1),
+        "pem": _key,
         "basic": lambda s: F.regexp_extract(s["value"], r"^://[^:]++:(.*)@$", 1),
     }
     kept = F.filter(c, checks[kind]) if kind in checks else c
@@ -70,7 +91,7 @@ def _candidates(kind: str, base: bool, order: int, column: str) -> Column:
             F.lit(base).alias("base"),
             F.substring(F.sha2(value(s).cast("binary"), 256), 1, 32).alias("digest"),
             value(s).rlike(PLACEHOLDER).alias("placeholder"),
-            F.size(F.array_distinct(F.split(F.left(value(s), F.lit(256)), ""))).alias("chars"),
+            _kinds(value(s)).alias("chars"),
         ),
     )
 
@@ -117,16 +138,23 @@ def scan(
     spans of the other kinds that overlap no base span, each with its digest, the value's distinct
     owners and repositories over all rows, and its class: ``example`` (a placeholder, or held by
     ``rule.example_owners`` owners or more), ``live`` (one owner, ``rule.distinct_chars``
-    different characters or more) or ``shared``. Null texts count as empty; null owners are one
+    different characters or more) or ``shared``. ``owner_col`` and ``repo_cols`` name what stands for
+    an owner and a repository (the given documents have neither, so a source is the owner and a
+    source's language a repository). A key file counts by its body. Null texts count as empty; null owners are one
     owner; repeated rows are rows of their own and count as uses; an empty table gives an empty
     result. Columns of ``docs`` other than those named are not looked at.
     """
     rows = candidates(docs, id_col, text_col, owner_col, repo_cols)
-    stats = ownership(rows)
+    stats = materialize(ownership(rows), "secret-values")
     placed = rows.select("uid", F.explode("found").alias("s")).select("uid", "s", F.col("s.digest").alias("digest"))
     example = F.col("s.placeholder") | (F.col("n_owners") >= rule.example_owners)
     live = (F.col("n_owners") == 1) & (F.col("s.chars") >= rule.distinct_chars)
-    judged = placed.join(stats, "digest").select(
+    # occurrences of widely copied values stay where they are; the others meet their few by key
+    hot = bounded_broadcast(stats.where(F.col("n_uses") > HOT_USES), BROADCAST_VALUES)
+    known = placed.join(hot, "digest").unionByName(
+        placed.join(hot.select("digest"), "digest", "left_anti").join(stats.where(F.col("n_uses") <= HOT_USES), "digest")
+    )
+    judged = known.select(
         "uid",
         F.struct(
             "s.start", "s.order", "s.kind", "s.end", "s.base", "digest", "n_uses", "n_repos", "n_owners",
@@ -157,5 +185,6 @@ def contract(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         *(f"n_{k}" for k in BASE),
         F.sha2(join_spans(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         join_spans(F.col("found")).alias("spans"),
+        F.array_join(F.transform("found", lambda s: s["class"]), ",").alias("classes"),
         *by_class,
     )
