@@ -30,8 +30,9 @@ from .sentencepiece_sampling import mix, uniform
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Largest number of candidate texts' keys (about 40 bytes each) that is broadcast.
 BROADCAST_KEYS = 500_000
-#: Shingles of one block of a bucket that is searched (8 bytes each).
-BLOCK_SHINGLES = 2_000_000
+#: Shingles (16 bytes each) and rows of one block of a bucket that is searched.
+BLOCK_SHINGLES = 1_000_000
+BLOCK_ROWS = 500
 #: Shingles handled at once while signatures are made.
 RUN_SHINGLES = 150_000
 #: Word hashes that a worker remembers.
@@ -224,12 +225,12 @@ def signed(docs: DataFrame, id_col: str, text_col: str, how: Banding, weights: s
     return rows.mapInArrow(lambda b: give_back(run(b)), schema)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of the edges (a, b): component is the least node reached.
 
     Labels go along edges in both directions and are then looked up once more (pointer jumping),
-    so rounds grow with the logarithm of a component's diameter. Every round is written, so none
-    is computed twice.
+    so rounds grow with the logarithm of a component's diameter; they go on until no label moves.
+    Every round is written, so none is computed twice, and the round before the last is removed.
     """
     both = materialize(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges"
@@ -237,7 +238,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     labels = materialize(
         both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels"
     )
-    for _ in range(rounds):
+    while True:
         seen = (
             both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("m")), "b")
             .groupBy("a")
@@ -258,7 +259,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         labels = new.select("node", "component")
         if new.where("moved").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def _numbers(column: pa.Array) -> list[np.ndarray]:
@@ -357,43 +357,46 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: fl
     """Links (a, b) between different components that share a bucket of three or more.
 
     Within such a bucket, queries are the members outside its largest component. They meet all
-    members, in blocks of bounded size, so a large bucket takes many tasks.
+    members, in blocks of bounded rows and shingles, so a large bucket takes many tasks. Buckets of
+    several bands with the same members are searched once. Only ids are joined by bucket; the
+    shingles come last, by id.
     """
     placed = members.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn(
         "component", F.coalesce("component", "nid")
     )
-    by_component = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    by_component = placed.groupBy("key", "component").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("nid")).alias("x"), F.sum(F.xxhash64(F.lit(1), "nid").cast("decimal(20,0)")).alias("y")
+    )
     mixed = (
         by_component.groupBy("key")
-        .agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"))
+        .agg(
+            F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"),
+            F.bit_xor("x").alias("x"), F.sum("y").alias("y"),
+        )
         .where("parts > 1 and size > 2")
-        .select("key", "main")
     )
-    rows = materialize(
-        placed.join(mixed, "key").select("key", "nid", "component", (F.col("component") != F.col("main")).alias("query")), "mixed"
-    )
-    weighed = rows.join(sets.select("nid", "set"), "nid").withColumn("n", F.octet_length("set") / 16)
-    weighed = materialize(weighed, "mixed-sets")
-    blocks = (
-        weighed.groupBy("key")
-        .agg(F.sum("n").alias("all"), F.sum(F.when(F.col("query"), F.col("n")).otherwise(0)).alias("asked"))
-        .select(
-            "key",
-            F.greatest(F.lit(1), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int").alias("mb"),
-            F.greatest(F.lit(1), F.ceil(F.col("asked") / BLOCK_SHINGLES)).cast("int").alias("qb"),
-        )
+    # equal members have equal sums of hashes; two sums of 64 bits and more, and the size, tell others apart
+    mixed = mixed.groupBy("size", "x", "y").agg(F.min_by(F.struct("key", "main"), "key").alias("k")).select("k.key", "k.main")
+    sizes = sets.select("nid", (F.octet_length("set") / 16).alias("n"))
+    rows = placed.join(mixed, "key").select("key", "nid", "component", (F.col("component") != F.col("main")).alias("query"))
+    rows = materialize(rows.join(sizes, "nid"), "mixed")
+    cut = lambda n, shingles: F.greatest(F.lit(1), F.ceil(n / BLOCK_ROWS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    asks = F.when(F.col("query"), F.col("n")).otherwise(0)
+    blocks = rows.groupBy("key").agg(
+        cut(F.count(F.lit(1)), F.sum("n")).alias("mb"), cut(F.count_if("query"), F.sum(asks)).alias("qb")
     )
-    spread = weighed.join(blocks, "key")
+    spread = rows.drop("n").join(blocks, "key")
     own = F.pmod(F.xxhash64("nid"), F.col("mb")).cast("int")
     asked = F.pmod(F.xxhash64("nid"), F.col("qb")).cast("int")
     one = F.col("mb") * F.col("qb") == 1
     as_member = spread.select(
-        "key", "nid", "component", (F.col("query") & one).alias("query"), "set", own.alias("m"),
+        "key", "nid", "component", (F.col("query") & one).alias("query"), own.alias("m"),
         F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"),
     )
     as_query = spread.where(F.col("query") & ~one).select(
-        "key", "nid", "component", "query", "set", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), asked.alias("q")
+        "key", "nid", "component", "query", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), asked.alias("q")
     )
+    every = as_member.unionByName(as_query).join(sets.select("nid", "set"), "nid")
 
     def run(table: pa.Table) -> pa.Table:
         links = block_links(
@@ -402,7 +405,7 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: fl
         )
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return as_member.unionByName(as_query).groupBy("key", "m", "q").applyInArrow(run, "a long, b long")
+    return every.groupBy("key", "m", "q").applyInArrow(run, "a long, b long")
 
 
 def classes(

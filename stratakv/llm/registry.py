@@ -42,7 +42,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.contract(minhash.classes(table(spark, sf_dir, "documents")))
+    return minhash.contract(minhash.classes(table(spark, sf_dir, "documents"), weights="count"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
