@@ -1,10 +1,14 @@
 """Operator 2, benchmark decontamination: suffix arrays of the training texts.
 
 Every shard of the training texts (a run of rows of one partition) gets a suffix array over its
-words. Every suffix of every test item is binary-searched in it, which yields the longest verbatim
-match at that suffix and the places of all matches of a window's length. A shard's array holds the
-suffixes that start with a word sequence of the tests, as no other suffix can match; it is built,
-searched and dropped within the task that reads the shard, so nothing is shuffled.
+words. Every suffix of every test item is binary-searched in it, word by word up to a window, which
+yields ranges of the array: the places of all windows that occur. Equal windows of the tests have
+one range, so each place is looked at once for a window length, however often tests and texts repeat
+themselves. Texts with a window get a suffix array of their own together with the items found in
+them, in which every suffix's neighbours give its longest verbatim match and where it lies. A
+shard's array holds the suffixes that start with a word sequence of the tests, as no other suffix
+can match; it is built, searched and dropped within the task that reads the shard, so nothing is
+shuffled.
 
 The tests travel in blocks of bounded size, one broadcast each, and every shard goes through all
 blocks in turn: tests of any size are handled with one block in memory at a time.
@@ -31,6 +35,10 @@ BLOCK_WORDS = 1_000_000
 #: Words of training text in a shard (about 60 bytes each while the shard is searched).
 SHARD_WORDS = 150_000
 
+#: Columns that are added.
+ADDED = """n_words long, n_hit long, n_items long, items array<string>, longest_match long,
+    matches array<struct<item:string,item_word:bigint,word:bigint,length:bigint>>, contaminated boolean"""
+
 #: Bytes of words: digits, letters in either case, all of UTF-8 beyond ASCII. Others separate.
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -62,6 +70,9 @@ class Tests:
         self.gram = min([3, *lengths]) if lengths else 1
         self.words = np.concatenate(runs) if runs else np.zeros(0, np.int64)
         starts = self.rest >= self.gram
+        self.first = np.cumsum([0, *map(len, runs)]).astype(np.int64)  # of each item's words
+        # suffixes at which a window starts
+        self.opens = (self.rest >= self.need) & ((self.need == window) | (self.offset == 0))
         self.grams = np.unique(self._codes(np.concatenate([self.words, np.zeros(3, np.int64)]), np.flatnonzero(starts)))
 
     def _codes(self, numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -132,44 +143,95 @@ class SuffixArray:
         return bound(False), bound(True)
 
 
-def match(tests: Tests, numbers: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Matches of test suffixes in a shard: (test suffix, position, window's words, matched words).
+def match(tests: Tests, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]]:
+    """Matches of test suffixes in a shard, no longer than a window: (places, words, windows).
 
-    ``numbers`` are word numbers, with 0 for words that no test has and after each text. All places
-    where a suffix's window (the item, if shorter) occurs are yielded, each with the number of
-    words that match from there.
+    ``numbers`` are word numbers, with 0 for words that no test has and after each text. Places are
+    those of the shard's suffix array, words the longest match at each. Windows are, by length,
+    (test suffixes at which one starts that occurs, first and last place of its range).
     """
-    padded = np.concatenate([numbers, np.zeros(tests.depth + 4, dtype=np.int64)])
-    array = SuffixArray(padded, tests.candidates(padded), tests.depth)
-    suffix = np.arange(len(tests.words))
-    suffix = suffix[(tests.rest >= tests.need) & ((tests.need == tests.window) | (tests.offset == 0))]
+    padded = np.concatenate([numbers, np.zeros(tests.window + 4, dtype=np.int64)])
+    depth = min(tests.window, tests.depth)
+    array = SuffixArray(padded, tests.candidates(padded), depth)
+    best = np.zeros(len(array.at), dtype=np.int64)
+    suffix = np.flatnonzero(tests.rest >= tests.gram)
     lo, hi = np.zeros(len(suffix), np.int64), np.full(len(suffix), len(array.at), np.int64)
-    for k in range(min(tests.window, tests.depth)):
+    windows = []
+    for k in range(depth):
         lo, hi = array.search(tests.words[suffix + k], lo, hi, k)
         go = lo < hi
         suffix, lo, hi = suffix[go], lo[go], hi[go]
-        whole = tests.need[suffix] == k + 1
-        if whole.any():
-            n = hi[whole] - lo[whole]
-            which = np.repeat(suffix[whole], n)
-            place = array.at[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[whole], n)]
-            yield which, place, np.full(len(place), k + 1), _extended(tests, padded, which, place, k + 1)
-            suffix, lo, hi = suffix[~whole], lo[~whole], hi[~whole]
         if not len(suffix):
-            return
+            break
+        if k + 1 >= tests.gram:
+            n = len(best) + 1
+            best[np.cumsum(np.bincount(lo, minlength=n) - np.bincount(hi, minlength=n))[:-1] > 0] = k + 1
+        whole = tests.opens[suffix] & (tests.need[suffix] == k + 1)
+        if whole.any():
+            windows.append((suffix[whole], lo[whole], hi[whole], k + 1))
+        more = tests.rest[suffix] > k + 1
+        suffix, lo, hi = suffix[more], lo[more], hi[more]
+    return array.at, best, windows
+
+
+def _ramp(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which range, and the places in it, of all ranges [lo, hi)."""
+    n = hi - lo
+    return np.repeat(np.arange(len(lo)), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - lo, n)
+
 
+def longest_matches(tests: Tests, text: np.ndarray, items: list[int]) -> list[tuple[int, int, int, int]]:
+    """(item, offset, place, words): the longest match in a text at every suffix of the items.
 
-def _extended(tests: Tests, padded: np.ndarray, suffix: np.ndarray, place: np.ndarray, matched: int) -> np.ndarray:
-    """Words that match from each place on, given that the first ``matched`` do."""
-    length = np.full(len(place), matched, dtype=np.int64)
-    go = np.flatnonzero(tests.rest[suffix] > matched)
-    while len(go):
-        at = length[go]
-        same = padded[place[go] + at] == tests.words[suffix[go] + at]
-        go = go[same]
-        length[go] += 1
-        go = go[tests.rest[suffix[go]] > length[go]]
-    return length
+    Only matches of a window (of the item, if shorter) and more are returned, and of those none
+    that the match one suffix earlier holds already. Suffixes of text and items are sorted together
+    by doubling the words compared, so equal words that go on and on take a few rounds more.
+    """
+    n = len(text)
+    sizes = [len(tests.runs[i]) for i in items]
+    total = n + sum(sizes) + len(items) + 1
+    names = -1 - np.arange(total, dtype=np.int64)  # ends and words that no test has are like nothing else
+    names[:n][text > 0] = text[text > 0]
+    starts = []
+    at = n + 1
+    for i, size in zip(items, sizes, strict=True):
+        names[at : at + size] = tests.runs[i]
+        starts.append(at)
+        at += size + 1
+    ranks = [np.unique(names, return_inverse=True)[1]]
+    step = 1
+    while int(ranks[-1].max()) + 1 < total:
+        rank = ranks[-1]
+        after = np.zeros(total, dtype=np.int64)
+        after[: total - step] = rank[step:] + 1
+        ranks.append(np.unique(rank * (total + 1) + after, return_inverse=True)[1])
+        step *= 2
+    order = np.argsort(ranks[-1])
+    here = np.arange(total)
+    before = np.maximum.accumulate(np.where(order < n, here, -1))
+    behind = np.minimum.accumulate(np.where(order < n, here, total)[::-1])[::-1]
+    offset = np.concatenate([np.arange(size) for size in sizes])
+    p = np.repeat(starts, sizes) + offset
+    place = ranks[-1][p]
+    best, where = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+    for near in (before[place], behind[place]):
+        some = (near >= 0) & (near < total)
+        q = order[np.where(some, near, 0)]
+        same = np.zeros(len(p), np.int64)
+        for level in range(len(ranks) - 1, -1, -1):
+            a, b = p + same, q + same
+            inside = some & (a + (1 << level) <= total) & (b + (1 << level) <= total)
+            rank = ranks[level]
+            equal = inside & (rank[np.minimum(a, total - 1)] == rank[np.minimum(b, total - 1)])
+            same[equal] += 1 << level
+        more = same > best
+        best[more], where[more] = same[more], q[more]
+    item = np.repeat(items, sizes)
+    need = np.repeat([min(tests.window, size) for size in sizes], sizes)
+    held = np.zeros(len(p), dtype=bool)
+    held[1:] = (item[1:] == item[:-1]) & (best[:-1] == best[1:] + 1)
+    keep = (best >= need) & ~held
+    return list(zip(item[keep].tolist(), offset[keep].tolist(), where[keep].tolist(), best[keep].tolist(), strict=True))
 
 
 def _shards(batches: Iterable[pa.RecordBatch], text_at: int, size: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
@@ -187,30 +249,49 @@ def _shards(batches: Iterable[pa.RecordBatch], text_at: int, size: int) -> Itera
             yield batch.slice(first), held
 
 
-def search_shard(texts: list[list[bytes]], blocks: Iterable[Tests]) -> list[tuple[int, int, list[str], int]]:
-    """For each text: words, words hit, items with an occurring window, longest match in words."""
+def search_shard(texts: list[list[bytes]], blocks: Iterable[Tests]) -> list[tuple[int, int, list[str], int, list[tuple[str, int, int, int]]]]:
+    """For each text: words, words hit, items with an occurring window, longest match in words, matches.
+
+    Matches are (item, word of the item, word of the text, words), see ``longest_matches``.
+    """
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     starts = np.cumsum(lengths + 1) - (lengths + 1)  # a gap after each text
     total = int((lengths + 1).sum())
     hit = np.zeros(total + 1, dtype=np.int64)
     items: list[set[str]] = [set() for _ in texts]
+    matches: list[list[tuple[str, int, int, int]]] = [[] for _ in texts]
     longest = np.zeros(len(texts), np.int64)
     flat = [w for t in texts for w in (*t, b"")]
     for tests in blocks:
         numbers = np.fromiter(map(tests.vocabulary.get, flat, repeat(0)), dtype=np.int64, count=total)
-        for suffix, place, need, best in match(tests, numbers):
-            np.add.at(hit, place, 1)
-            np.add.at(hit, place + need, -1)
-            text = np.searchsorted(starts, place, side="right") - 1
-            np.maximum.at(longest, text, best)
-            item = tests.item[suffix]
-            for t, i in np.unique(np.stack([text, item]), axis=1).T:
-                items[t].add(tests.names[i])
+        places, words, windows = match(tests, numbers)
+        text_of = np.searchsorted(starts, places, side="right") - 1
+        np.maximum.at(longest, text_of, words)
+        found: dict[int, set[int]] = {}
+        for suffix, lo, hi, n in windows:
+            low, first, which = np.unique(lo, return_index=True, return_inverse=True)
+            window, at = _ramp(low, hi[first])
+            np.add.at(hit, places[at], 1)
+            np.add.at(hit, places[at] + n, -1)
+            # items of each window; windows with the same items are one class
+            pairs = np.unique(np.stack([which, tests.item[suffix]]), axis=1)
+            cuts = np.flatnonzero(np.append(True, np.diff(pairs[0]) > 0))
+            sets = [tuple(x.tolist()) for x in np.split(pairs[1], cuts[1:])]
+            number: dict[tuple, int] = {}
+            classes = np.array([number.setdefault(x, len(number)) for x in sets])
+            of = list(number)
+            for t, c in np.unique(np.stack([text_of[at], classes[window]]), axis=1).T.tolist():
+                found.setdefault(t, set()).update(of[c])
+        for t, own in found.items():
+            items[t].update(tests.names[i] for i in own)
+            far = longest_matches(tests, numbers[starts[t] : starts[t] + lengths[t]], sorted(own))
+            longest[t] = max(longest[t], max(m[3] for m in far))
+            matches[t] += [(tests.names[i], *rest) for i, *rest in far]
     covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:total]) > 0)])
     n_hit = covered[starts + lengths] - covered[starts]
     return [
-        (int(n), int(h), sorted(found), int(best))
-        for n, h, found, best in zip(lengths, n_hit, items, longest, strict=True)
+        (int(n), int(h), sorted(own), int(best), sorted(far))
+        for n, h, own, best, far in zip(lengths, n_hit, items, longest, matches, strict=True)
     ]
 
 
@@ -240,6 +321,9 @@ def blocks_of(tests: DataFrame, item_col: str, text_col: str, window: int, block
     return out
 
 
+_MATCH = pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("word", pa.int64()), ("length", pa.int64())])
+
+
 def contamination(
     docs: DataFrame,
     tests: DataFrame,
@@ -255,19 +339,21 @@ def contamination(
 
     Adds n_words, n_hit (words inside an occurrence of a window of ``window`` consecutive words of
     an item; an item of fewer, but not none, is one window), n_items, items (their ids as text,
-    sorted), longest_match (words; 0 without a window) and contaminated. Null and wordless texts have no words and are clean;
+    sorted), longest_match (words of the longest verbatim match with an item, 0 if shorter than three words
+    and than every item), matches (item, item_word, word, length: the longest match and its place for every suffix
+    of an item from a window on, but those that go on the match of the suffix before) and
+    contaminated. Null and wordless texts have no words and are clean;
     repeated rows and repeated items are looked at one by one; an empty table of documents gives
     an empty result, an empty table of tests leaves all clean. Items with a null id have no name
-    and are not searched: a passage of such an item alone leaves a document clean. A column of ``keep`` that clashes
-    with an added one is an error of the caller; other columns are not looked at.
+    and are not searched: a passage of such an item alone leaves a document clean. Columns of ``keep`` with the name
+    (in any case) of an added one are replaced by it; other columns are not looked at. A text is
+    searched as a whole, with about 100 bytes a word; the driver holds one block of tests at a time.
     """
-    names = [id_col] if keep is None else keep
+    added = T.StructType.fromDDL(ADDED)
+    names = [c for c in ([id_col] if keep is None else keep) if c.lower() not in added.names]
     sent = blocks_of(tests, item_col, item_text_col, window, block_words)
     (probe,) = fresh(docs.select(*names) if names else docs, "text_to_search")
     rows = docs.select(*(F.col(f"`{c}`") for c in names), F.col(text_col).alias(probe))
-    added = T.StructType.fromDDL(
-        "n_words long, n_hit long, n_items long, items array<string>, longest_match long, contaminated boolean"
-    )
     schema = T.StructType([*docs.select(*(F.col(f"`{c}`") for c in names)).schema.fields, *added.fields])
     at = len(names)
 
@@ -291,6 +377,7 @@ def contamination(
                 pa.array([len(f[2]) for f in found], pa.int64()),
                 pa.array([f[2] for f in found], pa.list_(pa.string())),
                 pa.array([f[3] for f in found], pa.int64()),
+                pa.array([[dict(zip(_MATCH.names, m, strict=True)) for m in f[4]] for f in found], pa.list_(_MATCH)),
                 pa.array([f[1] > 0 for f in found], pa.bool_()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *added.names])
@@ -300,7 +387,7 @@ def contamination(
 
 def remove_contaminated(docs: DataFrame, tests: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no window of the tests occurs, with all their columns."""
-    clash = [c for c in docs.columns if c.lower() in {"n_words", "n_hit", "n_items", "items", "longest_match", "contaminated"}]
+    clash = [c for c in docs.columns if c.lower() in T.StructType.fromDDL(ADDED).names]
     safe = {c: f"kept_{i}" for i, c in enumerate(clash)}
     back = {v: k for k, v in safe.items()}
     renamed = docs.withColumnsRenamed(safe)

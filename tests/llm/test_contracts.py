@@ -63,6 +63,57 @@ def test_decontamination(spark):
             assert Counter(r.doc_id for r in kept.collect()) == Counter(w[0] for w in want if not w[-1])
 
 
+def longest_at(item, offset, text):
+    """Words of the longest match of an item's suffix in a text."""
+    best = 0
+    for k in range(len(text)):
+        n = 0
+        while offset + n < len(item) and k + n < len(text) and item[offset + n] == text[k + n]:
+            n += 1
+        best = max(best, n)
+    return best
+
+
+def test_longest_matches_of_every_suffix(spark):
+    import random
+
+    r = random.Random(4)
+    letters = "abcd"
+    items = [(i, " ".join(r.choice(letters) for _ in range(r.choice((4, 12, 30))))) for i in range(6)] + [(9, "z " * 25)]
+    texts = [(i, " ".join(r.choice(letters) for _ in range(150)) + " q " + r.choice(items)[1] + " " + "z " * r.choice((0, 9, 60))) for i in range(12)]
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, items string")
+    for block_words in (1_000_000, 20):
+        found = {r.doc_id: r for r in decontamination.contamination(docs, tests, keep=["doc_id", "items"], block_words=block_words).collect()}
+        for d, t in texts:
+            text, want, top = words(t), set(), 0
+            for i, x in items:
+                item, last = words(x), 0
+                for o in range(len(item)):
+                    n = longest_at(item, o, text)
+                    top = max(top, n)
+                    if n >= min(10, len(item)) and last != n + 1:
+                        want.add((str(i), o, n))
+                    last = n
+            got = found[d].matches
+            assert {(m.item, m.item_word, m.length) for m in got} == want and len(got) == len(want)
+            assert found[d].longest_match == (top if top >= 3 else 0)
+            for m in got:
+                item = words(dict(items)[int(m.item)])
+                assert text[m.word : m.word + m.length] == item[m.item_word : m.item_word + m.length]
+
+
+def test_one_word_over_and_over():
+    import time
+
+    n = 20_000
+    tests = decontamination.Tests([("i", [b"spam"] * n)], 10)
+    begun = time.time()
+    ((words_, hit, items, longest, matches),) = decontamination.search_shard([[b"spam"] * n], [tests])
+    assert (words_, hit, items, longest) == (n, n, ["i"], n) and matches == [("i", 0, 0, n)]
+    assert time.time() - begun < 20
+
+
 BASE_PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
