@@ -284,6 +284,21 @@ def test_dedup_state_takes_in_new_files(spark, tmp_path):
     assert {(bytes(r.key), r.keep_id, r.size) for r in state.table().collect()} == {(b"a", 5, 2), (b"b", 2, 1)}
 
 
+def test_dedup_against_earlier_arrivals(spark, tmp_path):
+    """A stored state goes on: later rows are weighed against all before, whole texts by their locators."""
+    first = [(1, "a"), (2, "b"), (3, "a"), (None, None)]
+    later = [(9, "a"), (0, "b"), (5, "cc"), (6, "dd"), (7, "")]
+    frames = []
+    for n, part in enumerate((first, later)):
+        frame(spark, part).repartition(2).write.parquet(str(tmp_path / f"in{n}"))
+        frames.append(spark.read.parquet(str(tmp_path / f"in{n}")))
+    for i, digest in enumerate((exact_dedup.sha256, lambda t: F.encode(F.length(t).cast("string"), "utf-8"))):
+        at = str(tmp_path / f"state{i}")
+        ask = lambda df: {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(df, digest=digest, state=at).collect()}
+        assert ask(frames[0]) == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True), None: (None, 1, True)}
+        assert ask(frames[1]) == {9: (9, 3, True), 0: (2, 2, False), 5: (5, 1, True), 6: (6, 1, True), 7: (7, 2, True)}
+
+
 def place(key, weights):
     def cost(i, w):
         u = (int(hashlib.md5(f"{key}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
