@@ -2,7 +2,9 @@
 
 Hosts' labels are split into words by unigram Viterbi, with word counts from a seed lexicon and
 from the urls themselves; a multinomial naive Bayes over the words of host and path judges urls
-that no rule fits. Training labels are weak: hosts with words of the seed lists.
+that no rule fits. Training labels come from the pages and not from their urls: a page whose text
+is noise or full of seed words is unwanted. Seed words stand as a few prior counts besides. A fifth
+of the pages, by a hash of the id, is held out of the fit.
 """
 
 from __future__ import annotations
@@ -43,6 +45,15 @@ GOOD = (
 #: Words that say nothing about a host.
 NEUTRAL = "www m blog com net org edu gov co uk example html php index page http https".split()
 
+#: Cost of a letter of an unknown piece of a host name.
+LETTER_COST = 2.5
+#: Counts that a seed word has before any page is seen.
+SEED_COUNT = 5
+#: Shares of a page's words from which on it is unwanted: runs of symbols, and seed words.
+NOISE_SHARE, BAD_SHARE = 0.1, 0.05
+#: Words that a page must have to be a label.
+LEAST_WORDS = 5
+
 #: Most words of a table that is broadcast; a larger one is joined. Results are the same.
 MAX_WORDS = 200_000
 #: Hosts whose words a worker remembers.
@@ -73,29 +84,34 @@ class Segmenter:
     ``total`` is the count of all words where ``counts`` holds only those that a label may need.
     """
 
-    LONGEST = 24
-
-    def __init__(self, counts: dict[str, int], total: int | None = None):
+    def __init__(self, counts: dict[str, int], total: int | None = None, lengths: Sequence[int] | None = None):
         self.counts = counts
-        self.total = (sum(counts.values()) if total is None else total) + 1
+        self.lengths = sorted(set(map(len, counts)) if lengths is None else lengths)  # of known words
+        self.whole = math.log((sum(counts.values()) if total is None else total) + 1)
         self.cache: OrderedDict[str, list[str]] = OrderedDict()
 
     def cost(self, word: str) -> float:
         n = self.counts.get(word)
-        if n:
-            return math.log(self.total) - math.log(n)
-        return math.log(self.total) + 2.5 * len(word)
+        return self.whole - math.log(n) if n else self.whole + LETTER_COST * len(word)
 
     def label(self, label: str) -> list[str]:
-        """The words of a label; ties go to the segmentation whose last word is longest."""
+        """The words of a label; ties go to the segmentation whose last word is longest.
+
+        An unknown piece costs so much for each letter, so the best start of one is carried along:
+        the work follows the letters and the lengths of known words.
+        """
         best: list[tuple[float, int]] = [(0.0, 0)]
+        unknown = (0.0, 0)  # least cost up to a start, less its letters' costs
         for end in range(1, len(label) + 1):
-            best.append(
-                min(
-                    (best[start][0] + self.cost(label[start:end]), start)
-                    for start in range(max(0, end - self.LONGEST), end)
-                )
-            )
+            ways = [(unknown[0] + self.whole + LETTER_COST * end, unknown[1])]
+            for n in self.lengths:
+                if n > end:
+                    break
+                word = label[end - n : end]
+                if word in self.counts:
+                    ways.append((best[end - n][0] + self.cost(word), end - n))
+            best.append(min(ways))
+            unknown = min(unknown, (best[end][0] - LETTER_COST * end, end))
         words, end = [], len(label)
         while end:
             start = best[end][1]
@@ -158,6 +174,22 @@ def unigrams(parts: DataFrame) -> DataFrame:
     return seen.union(seeds).groupBy("w").agg(F.sum("n").alias("n"))
 
 
+def label_of(html: Column) -> Column:
+    """1 for a page whose text is noise or full of seed words, 0 for another, null without enough words."""
+    text = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*+>.*?</\1\s*+>|<!--.*?-->", " ")
+    text = F.lower(F.regexp_replace(text, r"<[^>]*+>", " "))
+    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    noise = F.regexp_count(text, F.lit(r"(?:&amp;|[%*#$~^|=_&]){3,}+"))
+    bad = F.regexp_count(text, F.lit(r"\b(?:" + "|".join(BAD) + r")\b"))
+    unwanted = (noise >= NOISE_SHARE * words) | (bad >= BAD_SHARE * words)
+    return F.when(words >= LEAST_WORDS, unwanted.cast("int"))
+
+
+def held_out(key: Column) -> Column:
+    """Whether a page is held out of the fit (null ids are one id)."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
 def _fits(words: DataFrame) -> bool:
     return words.limit(MAX_WORDS + 1).count() <= MAX_WORDS
 
@@ -180,14 +212,14 @@ def _tokens(rows: DataFrame, counts: DataFrame) -> DataFrame:
 
 def _joined_tokens(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """``_tokens`` with each distinct host's substrings joined to the counts."""
-    total = counts.agg(F.sum("n")).first()[0]
+    total, lengths = counts.agg(F.sum("n"), F.collect_set(F.char_length("w"))).first()
     hosts = materialize(rows.select("host").distinct(), "url-hosts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h in batch.column("host").to_pylist():
                 parts = re.findall(r"[^\W_]+", h)
-                found = list({p[a:b] for p in parts for a in range(len(p)) for b in range(a + 1, min(a + Segmenter.LONGEST, len(p)) + 1)})
+                found = list({p[a : a + n] for p in parts for n in lengths for a in range(len(p) - n + 1)})
                 yield pa.RecordBatch.from_arrays([pa.array([h] * len(found), pa.string()), pa.array(found, pa.string())], names=["host", "w"])
 
     known = hosts.mapInArrow(cut, "host string, w string").join(counts, "w").groupBy("host").agg(F.collect_list(F.struct("w", "n")).alias("known"))
@@ -196,7 +228,7 @@ def _joined_tokens(rows: DataFrame, counts: DataFrame) -> DataFrame:
         for batch in batches:
             names = batch.column("host").to_pylist()
             tables = [{e["w"]: e["n"] for e in k or ()} for k in batch.column("known").to_pylist()]
-            words = [Segmenter(t, total).host(h) for h, t in zip(names, tables, strict=True)]
+            words = [Segmenter(t, total, lengths).host(h) for h, t in zip(names, tables, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(words, pa.list_(pa.string()))], names=["host", "host_words"])
 
     given = rows.columns
@@ -237,40 +269,43 @@ def _scored(tokens: DataFrame, counted: DataFrame, sizes: tuple[int, int]) -> Da
 
 
 def judge(
-    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url"
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
-    """id_col, host, path, rule, verdict, words, odds for every row.
+    """id_col, host, path, rule, verdict, words, odds, label, held_out for every row.
 
     rule is the longest rule that fits (``com/fr/``; null if none) and verdict its verdict, else
-    ``block`` where the log odds of the words are above 0. Null urls and urls without ``://`` have
-    an empty host and path, no words, and the verdict of the prior. Repeated rows and hosts are
-    judged alike; an empty table gives an empty result; other columns are not looked at.
+    ``block`` where the log odds of the words are above 0. label is what the page's text says (see
+    ``label_of``; null without ``html_col``), held_out whether the fit left the row out. Null urls
+    and urls without ``://`` have an empty host and path, no words, and the verdict of the prior.
+    Repeated rows and hosts are judged alike; an empty table gives an empty result; other columns
+    are not looked at.
     """
     host, path = split_url(F.col("url"))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", host.alias("host"), path.alias("path"))
+    label = label_of(F.col(f"`{html_col}`")) if html_col in pages.columns else F.lit(None).cast("int")
+    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), label.alias("label"))
+    rows = rows.select("id", host.alias("host"), path.alias("path"), "label", held_out(F.col("id")).alias("held_out"))
     tokens = materialize(_tokens(rows, materialize(unigrams(rows), "url-unigrams")), "url-words")
-    bad, good = F.array(*map(F.lit, BAD)), F.array(*map(F.lit, GOOD))
-    labelled = tokens.select(
-        F.when(F.arrays_overlap("words", bad), 1).when(F.arrays_overlap("words", good) | (F.size("words") > 0), 0).alias("y"),
-        "words",
-    ).where("y is not null")
-    sizes = labelled.agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")).first()
-    counted = (
-        labelled.select("y", F.explode("words").alias("w"))
+    labelled = tokens.where("label is not null and not held_out").select("label", "words")
+    sizes = labelled.agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")).first()
+    seen = (
+        labelled.select("label", F.explode("words").alias("w"))
         .groupBy("w")
-        .agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))
+        .agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
     )
+    prior = [(w, 0, SEED_COUNT) for w in BAD] + [(w, SEED_COUNT, 0) for w in GOOD]
+    seeds = pages.sparkSession.createDataFrame(prior, "w string, n0 long, n1 long")
+    counted = seen.unionByName(seeds).groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     scored = _scored(tokens, materialize(counted, "url-counts"), (sizes["n0"], sizes["n1"]))
     fits = rule_of(F.col("host"), F.col("path"), rules)
     return scored.select(
         F.col("id").alias(id_col), "host", "path", fits["rule"].alias("rule"),
         F.coalesce(fits["verdict"], F.when(F.col("odds") > 0, "block").otherwise("allow")).alias("verdict"),
-        "words", "odds",
+        "words", "odds", "label", "held_out",
     )
 
 
 def contract(judged: DataFrame) -> DataFrame:
     """``judge``'s result with the words joined."""
     return judged.select(
-        "page_id", "host", "path", "rule", "verdict", F.array_join("words", " ").alias("words"), F.round("odds", 6).alias("odds")
+        "page_id", "host", "path", "rule", "verdict", F.array_join("words", " ").alias("words"), F.round("odds", 6).alias("odds"), "label", "held_out"
     )

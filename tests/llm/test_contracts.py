@@ -357,6 +357,81 @@ def test_url_rules(spark):
             assert r.verdict in ("allow", "block") and (verdict is None or r.verdict == verdict)
 
 
+def auc(rows):
+    """Chance that an unwanted page has higher odds than another."""
+    bad, good = [o for o, y in rows if y], [o for o, y in rows if not y]
+    return sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
+
+
+def odd_pages():
+    """Pages whose hosts have words of their own; none of them is a seed word."""
+    import random
+
+    r = random.Random(8)
+    kinds = {1: ["zonk", "blarg", "quux"], 0: ["maple", "cedar", "birch"]}
+    text = {1: "### *** %%% " * 10 + "so we say here", 0: "plain words of a page that says what it has to say"}
+    rows = []
+    for i in range(400):
+        y = i % 2
+        seen = y if r.random() < 0.9 else 1 - y  # a tenth of the pages look like the other kind
+        host = r.choice(kinds[y]) + r.choice(["site", "spot", "yard"])
+        rows.append((i, f"http://{host}.example.info/{r.choice(kinds[y])}/{i}", f"<html><script>###***###</script><p>{text[seen]}</p>", "h"))
+    return rows
+
+
+def test_verdicts_on_held_out_pages(spark):
+    pages = spark.createDataFrame([*odd_pages(), *odd_pages()[:2], (None, "http://x.info/" + "a/" * 5000, None, "h")], "page_id long, url string, html string, label string")
+    got = url_filter.judge(pages).collect()
+    assert len(got) == 403
+    held = [r for r in got if r.held_out and r.page_id is not None]
+    assert len(held) > 50 and auc([(r.odds, r.label) for r in held]) > 0.8
+    assert sum((r.verdict == "block") == (r.page_id % 2 == 1) for r in held) >= 0.95 * len(held)
+
+
+def test_odds_against_a_plain_count(spark):
+    """Words by a plain Viterbi over the whole table, odds by plain counts."""
+    pages = spark.createDataFrame(odd_pages(), "page_id long, url string, html string, label string")
+    got = url_filter.judge(pages).collect()
+    counts = {}
+    for r in got:
+        for w in [*(x for x in re.split(r"[^a-z0-9]+", r.host) if len(x) <= 12), *re.split(r"[^a-z0-9]+", r.path)]:
+            if len(w) > 1 and w.isalpha():
+                counts[w] = counts.get(w, 0) + 1
+    counts = {w: 1 + math.floor(math.log1p(n)) for w, n in counts.items()}
+    for w in {*url_filter.BAD, *url_filter.GOOD, *url_filter.NEUTRAL}:
+        counts[w] = counts.get(w, 0) + 1000
+    total = sum(counts.values()) + 1
+
+    def cut(label):
+        best = {0: (0.0, [])}
+        for e in range(1, len(label) + 1):
+            ways = []
+            for a in range(e):
+                w = label[a:e]
+                c = math.log(total) - math.log(counts[w]) if w in counts else math.log(total) + 2.5 * len(w)
+                ways.append((best[a][0] + c, best[a][1] + [w]))
+            best[e] = min(ways, key=lambda x: x[0])
+        return best[len(label)]
+
+    n = {0: Counter(), 1: Counter()}
+    for w in url_filter.BAD:
+        n[1][w] += url_filter.SEED_COUNT
+    for w in url_filter.GOOD:
+        n[0][w] += url_filter.SEED_COUNT
+    size = Counter()
+    for r in got:
+        own = [w for part in r.host.split(".") for w in cut(part)[1]]
+        assert math.isclose(sum(cut(p)[0] for p in r.host.split(".")), sum(cut(w)[0] if w in counts else cut(w)[0] for w in r.words[: len(own)]), rel_tol=1e-9)
+        if not r.held_out:
+            n[r.label].update(r.words)
+            size[r.label] += 1
+    every = set(n[0]) | set(n[1])
+    sums = [sum(n[y].values()) + len(every) + 1 for y in (0, 1)]
+    for r in got:
+        want = math.log((size[1] + 1) / (size[0] + 1)) + sum(math.log((n[1][w] + 1) / sums[1]) - math.log((n[0][w] + 1) / sums[0]) for w in r.words if w in every)
+        assert abs(r.odds - want) < 1e-6
+
+
 def test_hosts_are_split_into_words():
     segmenter = url_filter.Segmenter(url_filter._lexicon())
     assert segmenter.host("www.cheappills-casinowin.com") == ["www", "cheap", "pills", "casino", "win", "com"]
