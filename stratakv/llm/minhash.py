@@ -385,7 +385,7 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: fl
     blocks = rows.groupBy("key").agg(
         cut(F.count(F.lit(1)), F.sum("n")).alias("mb"), cut(F.count_if("query"), F.sum(asks)).alias("qb")
     )
-    spread = rows.drop("n").join(blocks, "key")
+    spread = rows.drop("n").join(bounded_broadcast(materialize(blocks, "mixed-blocks"), BROADCAST_KEYS), "key")
     own = F.pmod(F.xxhash64("nid"), F.col("mb")).cast("int")
     asked = F.pmod(F.xxhash64("nid"), F.col("qb")).cast("int")
     one = F.col("mb") * F.col("qb") == 1
