@@ -174,15 +174,24 @@ def unigrams(parts: DataFrame) -> DataFrame:
     return seen.union(seeds).groupBy("w").agg(F.sum("n").alias("n"))
 
 
+#: What of a page is not its text: scripts, styles, comments, tags.
+HIDDEN = r"(?s)<(?:script|style|SCRIPT|STYLE)\b.*?</(?:script|style|SCRIPT|STYLE)\s*+>|<!--.*?-->|<[^>]*+>"
+
+
 def label_of(html: Column) -> Column:
     """1 for a page whose text is noise or full of seed words, 0 for another, null without enough words."""
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*+>.*?</\1\s*+>|<!--.*?-->", " ")
-    text = F.lower(F.regexp_replace(text, r"<[^>]*+>", " "))
-    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    noise = F.regexp_count(text, F.lit(r"(?:&amp;|[%*#$~^|=_&]){3,}+"))
-    bad = F.regexp_count(text, F.lit(r"\b(?:" + "|".join(BAD) + r")\b"))
-    unwanted = (noise >= NOISE_SHARE * words) | (bad >= BAD_SHARE * words)
-    return F.when(words >= LEAST_WORDS, unwanted.cast("int"))
+    text = F.lower(F.regexp_replace(html, HIDDEN, " "))
+
+    def counts(t: Column) -> Column:
+        bad = F.size(F.filter(F.split(t, "[^a-z]++"), lambda w: w.isin(BAD)))
+        return F.struct(F.regexp_count(t, F.lit(r"\S++")).alias("words"), F.regexp_count(t, F.lit(r"[%*#$~^|=_]{3,}+")).alias("noise"), bad.alias("bad"))
+
+    def label(c: Column) -> Column:
+        unwanted = (c["noise"] >= NOISE_SHARE * c["words"]) | (c["bad"] >= BAD_SHARE * c["words"])
+        return F.when(c["words"] >= LEAST_WORDS, unwanted.cast("int"))
+
+    # lambdas, so that a text is cut once and not once for each count
+    return F.transform(F.transform(F.array(text), counts), label)[0]
 
 
 def held_out(key: Column) -> Column:
