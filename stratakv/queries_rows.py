@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .catalog import InvalidRequest
+from .functions import scalar
 from .operators import folds, kv, models, ranks, reconcile, spans, vectors, wide
 from .plans.session import Session
 from .queries import LOG, MERGED, QUERY_VECTOR, event_log, event_session, order_view, ql, query, read
@@ -216,10 +218,11 @@ def f36_moving_average(spark, d):
     return files.moving_average(e, "value", ["event_id"], ["event_type"], 0.1).select("event_type", F.round("average", 6).alias("average"))
 
 
-@query("SELECT p_partkey, p_name FROM part ORDER BY p_name DESC, p_partkey LIMIT 30")
+@query("SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name DESC, p_partkey) - 1 AS place FROM part")
 def g35_reverse_comparator(spark, d):
     p = read(spark, d, "part").select("p_partkey", "p_name")
-    return p.orderBy(kv.sort_key("reverse", "p_name"), "p_partkey").limit(30)
+    placed = ranks.ranked(p.withColumn("by", kv.sort_key("reverse", "p_name")), ["by", "p_partkey"], "place")
+    return placed.select("p_partkey", "p_name", "place")
 
 
 @query("SELECT vec_id, list_distance(embedding::DOUBLE[], embedding::DOUBLE[]) = 0 AS same FROM embeddings")
@@ -302,3 +305,204 @@ def n02_key_value_lines(spark, d):
 @query("SELECT event_type, CAST(trunc(quantile_cont(value, 0.99)) AS BIGINT) AS p99 FROM events GROUP BY 1")
 def n04_percentiles(spark, d):
     return read(spark, d, "events").groupBy("event_type").agg(files.percentile_linear("value", 0.99).alias("p99"))
+
+
+# --- rows that until here had no query of their own -----------------------------------------------------
+
+def sparse(spark, d) -> Session:
+    """Customers without a nation below 5 and without a balance below 0."""
+    c = read(spark, d, "customer").select("c_custkey", F.expr("if(c_nationkey < 5, null, c_nationkey)").alias("nation"), F.expr("if(c_acctbal < 0, null, c_acctbal)").alias("balance"))
+    s = fresh(spark)
+    s.register("c", c, ["c_custkey"])
+    return s
+
+
+def refused(s: Session, text: str) -> bool:
+    try:
+        s.execute(text)
+    except InvalidRequest:
+        return True
+    return False
+
+
+@query("SELECT c_custkey, c_name AS first, CAST(c_nationkey AS VARCHAR) AS nation, NULL::VARCHAR AS none FROM customer")
+def c14_wide_find(spark, d):
+    """Columns of an entity by place in the order of names and by name."""
+    e = read(spark, d, "customer").select("c_custkey", wide.entity(seg=F.col("c_mktsegment"), name=F.col("c_name"), nation=F.col("c_nationkey")).alias("e"))
+    return e.select("c_custkey", wide.sorted_columns("e")[0]["value"].alias("first"), wide.column_of("e", "nation").alias("nation"), wide.column_of("e", "no").alias("none"))
+
+
+@query("SELECT c_nationkey AS nation, c_custkey FROM customer WHERE c_nationkey >= 5")
+def d12_is_not_null(spark, d):
+    """A view leaves out rows without a value in its key."""
+    s = sparse(spark, d)
+    s.execute("CREATE MATERIALIZED VIEW by_nation AS SELECT nation, c_custkey FROM c WHERE nation IS NOT NULL AND c_custkey IS NOT NULL PRIMARY KEY (nation, c_custkey)")
+    return s.execute("SELECT nation, c_custkey FROM by_nation")
+
+
+ql("d16_index_and_residual", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_nationkey IN (1, 7, 12) AND c_acctbal > 0 ALLOW FILTERING", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_nationkey IN (1, 7, 12) AND c_acctbal > 0")
+
+
+@query(f"WITH {LOG} SELECT key, max(seq) AS seq FROM log WHERE NOT (key >= 'u00010' AND key < 'u00020' AND seq < 5000) GROUP BY key HAVING arg_max(kind, seq) <> 'DEL'")
+def e02_points_under_range_deletes(spark, d):
+    """Newest rows over several sources, under point and range deletes."""
+    log = event_log(spark, d)
+    both = log.where("seq % 2 = 0").unionByName(log.where("seq % 2 = 1"))
+    cut = spark.createDataFrame([("u00010", "u00020", 5000)], "start string, end string, seq long")
+    return reconcile.newest(reconcile.without_covered(both, cut, spans.text_bucket(4))).where("kind <> 'DEL'").select("key", "seq")
+
+
+@query("SELECT c_mktsegment AS seg, true AS refused, count(c_acctbal) FILTER (WHERE c_acctbal >= 0) AS n, max(c_acctbal) FILTER (WHERE c_acctbal >= 0) AS hi FROM customer GROUP BY 1")
+def f06_aggregate_contract(spark, d):
+    """Aggregates start anew for each group and pass nulls over; aggregates of aggregates are refused."""
+    c = read(spark, d, "customer").select("c_mktsegment", "c_custkey", F.expr("if(c_acctbal < 0, null, c_acctbal)").alias("balance"))
+    s = fresh(spark)
+    s.register("c", c, ["c_mktsegment"], ["c_custkey"])
+    no = refused(s, "SELECT max(min(balance)) FROM c")
+    return s.execute("SELECT c_mktsegment AS seg, count(balance) AS n, max(balance) AS hi FROM c GROUP BY c_mktsegment").withColumn("refused", F.lit(no))
+
+
+@query("WITH s AS (SELECT user_id, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 4611686018427387904 + event_id::HUGEINT END) % 18446744073709551616 AS x FROM events GROUP BY 1) SELECT user_id, CAST(CASE WHEN x >= 9223372036854775808 THEN x - 18446744073709551616 ELSE x END AS BIGINT) AS total FROM s")
+def f13_sums_that_wrap(spark, d):
+    """Sums wrap at 64 bits, operands that are no numbers count as 0."""
+    big = F.expr("if(event_type = 'error', 'bad', string(4611686018427387904 + event_id))")
+    return read(spark, d, "events").groupBy("user_id").agg(folds.uint64add(big, F.col("event_id")).alias("total"))
+
+
+@query(f"WITH {LOG} SELECT key, max(seq) AS seq, arg_max(kind, seq) AS kind FROM log GROUP BY key")
+def f24_collapsed_points(spark, d):
+    """One point for each key, deletes too."""
+    return reconcile.newest(event_log(spark, d)).select("key", "seq", "kind")
+
+
+ql("g05_log10_in_type", "SELECT o_orderkey, log10(o_totalprice) AS a, log10(o_custkey + 1) AS b FROM orders", "SELECT o_orderkey, log10(o_totalprice) AS a, CAST(trunc(log10(o_custkey + 1)) AS BIGINT) AS b FROM orders")
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey >= 5 THEN c_nationkey END AS n, CASE WHEN c_acctbal >= 0 THEN floor(c_acctbal + 0.5) END AS r, CASE WHEN c_acctbal >= 0 THEN exp(c_acctbal / 10000) END AS e FROM customer")
+def g07_nulls_in_math(spark, d):
+    return sparse(spark, d).execute("SELECT c_custkey, abs(nation) AS n, round(balance) AS r, exp(balance / 10000) AS e FROM c")
+
+
+ql("g10_now", "SELECT event_id, to_unix_timestamp(now()) AS ms FROM events", "SELECT event_id, 1706745600000 AS ms FROM events")
+ql("g11_current_moments", "SELECT event_id, current_date() AS day, to_unix_timestamp(current_timestamp()) AS ms FROM events", "SELECT event_id, DATE '2024-02-01' AS day, 1706745600000 AS ms FROM events")
+
+
+@query("SELECT count(*) AS n, count(*) AS different, count(*) AS random FROM orders")
+def g14_uuids(spark, d):
+    u = event_session(spark, d).execute("SELECT o_orderkey, uuid() AS u FROM orders")
+    return u.agg(F.count("u").alias("n"), F.countDistinct("u").alias("different"), F.count_if(F.col("u").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab]")).alias("random"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey IN (3, 5) THEN 'from \"json\"' ELSE c_name END AS c_name FROM customer")
+def g18_values_from_json(spark, d):
+    s = event_session(spark, d)
+    s.execute("UPDATE customer SET c_name = from_json('\"from \\\"json\\\"\"') WHERE c_custkey IN (3, 5)")
+    return s.execute("SELECT c_custkey, c_name FROM customer")
+
+
+ql("g19_json_forms", "SELECT event_id, to_json(event_type) AS t, to_json(user_id) AS n, to_json(text_as_blob(event_type)) AS b FROM events", "SELECT event_id, '\"' || event_type || '\"' AS t, CAST(user_id AS VARCHAR) AS n, '\"0x' || lower(hex(encode(event_type))) || '\"' AS b FROM events")
+ql("g24_default_masks", "SELECT o_orderkey, mask_default(o_orderstatus) AS t, mask_default(o_totalprice) AS x, mask_default(o_orderdate) AS at FROM orders", "SELECT o_orderkey, '****' AS t, CAST(0 AS DOUBLE) AS x, TIMESTAMP '1970-01-01' AS at FROM orders")
+ql("g25_replacing_masks", "SELECT c_custkey, mask_replace(c_mktsegment, 'seg') AS t, mask_replace(c_nationkey, 7) AS n FROM customer", "SELECT c_custkey, 'seg' AS t, CAST(7 AS INTEGER) AS n FROM customer")
+ql("g27_outer_masks", "SELECT p_partkey, mask_outer(p_name, 3, 0) AS a, mask_outer(p_name, 1, 2, '#') AS b FROM part", "SELECT p_partkey, '***' || substr(p_name, 4) AS a, '#' || substr(p_name, 2, length(p_name) - 3) || '##' AS b FROM part")
+
+
+@query("SELECT c_custkey, sha256(c_name) AS a, md5(c_name) AS b FROM customer")
+def g28_hash_masks(spark, d):
+    h = event_session(spark, d).execute("SELECT c_custkey, mask_hash(c_name) AS a, mask_hash(c_name, 'MD5') AS b FROM customer")
+    return h.select("c_custkey", *(F.lower(F.hex(c)).alias(c) for c in ("a", "b")))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, NULL::VARCHAR AS none FROM events")
+def g29_elements(spark, d):
+    e = read(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("props"))
+    s = fresh(spark)
+    s.register("e", e, ["event_id"])
+    return s.execute("SELECT event_id, props['k'] AS k, props['none'] AS none FROM e")
+
+
+@query("SELECT c_custkey, '****' AS masked, c_mktsegment AS plain FROM customer")
+def g33_mask_definitions(spark, d):
+    """A masked column by role: without and with the permission to see it."""
+    s = event_session(spark, d)
+    s.execute("ALTER TABLE customer ALTER c_mktsegment MASKED WITH mask_default()")
+    s.execute("GRANT select ON customer TO reader")
+    masked = Session(spark, s.catalog, role="reader").execute("SELECT c_custkey, c_mktsegment AS masked FROM customer")
+    return masked.join(s.execute("SELECT c_custkey, c_mktsegment AS plain FROM customer"), "c_custkey")
+
+
+@query(f"WITH {LOG} SELECT substr(key, 1, 4) AS prefix, count(*) AS n, count(DISTINCT substr(key, 1, 5)) AS longer FROM log GROUP BY 1")
+def g34_prefixes(spark, d):
+    return event_log(spark, d).groupBy(kv.fixed_prefix(4).alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(kv.capped_prefix(5)).alias("longer"))
+
+
+@query("SELECT o_custkey, array_to_string(list_sort(list_distinct(list(o_orderstatus) || ['A', 'F'])), ',') AS both, array_to_string(list_sort(list_filter(list_distinct(list(o_orderstatus)), lambda x: x NOT IN ('A', 'F'))), ',') AS without FROM orders GROUP BY 1")
+def j05_set_algebra(spark, d):
+    o = read(spark, d, "orders").groupBy("o_custkey").agg(scalar.set_of(F.collect_set("o_orderstatus")).alias("s"))
+    other = F.array(F.lit("A"), F.lit("F"))
+    return o.select("o_custkey", F.array_join(scalar.set_add(F.col("s"), other), ",").alias("both"), F.array_join(scalar.set_remove(F.col("s"), other), ",").alias("without"))
+
+
+@query(f"WITH {LOG} SELECT key, count(*) AS n, max(seq) AS seq FROM log WHERE seq >= 3000 GROUP BY key")
+def k03_change_stream(spark, d):
+    """Changes of a log folder from a sequence number on, taken in micro-batches of one file."""
+    log = event_log(spark, d)
+    folder, out = scratch(spark, "changes"), scratch(spark, "changes-out")
+    for part in (0, 1, 2):
+        log.where(f"seq % 3 = {part}").write.mode("append").parquet(folder)
+    feed = feeds.tail(feeds.change_feed(spark, folder, log.schema, files_per_trigger=1), 3000)
+    feeds.run_available(feed, lambda b, n: b.write.mode("overwrite").parquet(f"{out}/epoch={n}"), scratch(spark, "changes-state"), "append")
+    return spark.read.schema(log.schema).parquet(out).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("seq"))
+
+
+@query(f"WITH {LOG} SELECT key, count(*) AS n FROM log WHERE expire_at IS NULL OR expire_at > 1706745600 GROUP BY key")
+def k04_unexpired(spark, d):
+    return feeds.unexpired(event_log(spark, d), 1_706_745_600).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey = 3 THEN 'flushed' ELSE c_name END AS c_name FROM customer WHERE c_custkey <> 5")
+def k08_flush(spark, d):
+    """Writes and deletions of statements are in the files after a flush."""
+    s = event_session(spark, d)
+    s.execute("UPDATE customer SET c_name = 'flushed' WHERE c_custkey = 3")
+    s.execute("DELETE FROM customer WHERE c_custkey = 5")
+    s.flush("customer", scratch(spark, "flushed"))
+    return s.execute("SELECT c_custkey, c_name FROM customer")
+
+
+@query("SELECT c_custkey, c_nationkey * 2 AS n, true AS refused FROM customer")
+def l05_dropped_function(spark, d):
+    s = event_session(spark, d)
+    s.execute("CREATE FUNCTION twice(x int) RETURNS NULL ON NULL INPUT RETURNS int LANGUAGE sql AS $$ x * 2 $$")
+    rows = s.execute("SELECT c_custkey, twice(c_nationkey) AS n FROM customer")
+    s.execute("DROP FUNCTION twice")
+    return rows.withColumn("refused", F.lit(refused(s, "SELECT twice(c_nationkey) FROM customer")))
+
+
+@query("SELECT p_partkey FROM part WHERE length(p_name) >= 12")
+def l08_custom_index_class(spark, d):
+    s = event_session(spark, d)
+    s.index_classes["longer"] = lambda c, v: F.length(c) >= v
+    s.execute("CREATE CUSTOM INDEX names ON part(p_name) USING 'longer'")
+    return s.execute("SELECT p_partkey FROM part WHERE expr(names, 12)")
+
+
+@query("SELECT p_partkey, true AS before, true AS after FROM part WHERE p_size = 7")
+def m04_indexes(spark, d):
+    """A predicate on a column is refused without an index, served with one and refused again once it is dropped."""
+    s, text = event_session(spark, d), "SELECT p_partkey FROM part WHERE p_size = 7"
+    before = refused(s, text)
+    s.execute("CREATE INDEX sizes ON part(p_size)")
+    rows = s.execute(text)
+    s.execute("DROP INDEX sizes")
+    return rows.select("p_partkey", F.lit(before).alias("before"), F.lit(refused(s, text)).alias("after"))
+
+
+@query("SELECT o_orderstatus AS status, o_custkey, o_orderdate, o_orderkey, true AS gone FROM orders")
+def m05_views(spark, d):
+    s = event_session(spark, d)
+    keys = "o_orderstatus, o_custkey, o_orderdate, o_orderkey"
+    s.execute(f"CREATE MATERIALIZED VIEW by_status AS SELECT {keys} FROM orders WHERE " + " AND ".join(f"{k} IS NOT NULL" for k in keys.split(", ")) + f" PRIMARY KEY ({keys})")
+    text = "SELECT o_orderstatus AS status, o_custkey, o_orderdate, o_orderkey FROM by_status"
+    rows = s.execute(text)
+    s.execute("DROP MATERIALIZED VIEW by_status")
+    return rows.withColumn("gone", F.lit(refused(s, text)))
