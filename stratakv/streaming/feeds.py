@@ -27,26 +27,40 @@ def run_available(feed: DataFrame, sink: Callable[[DataFrame, int], None], check
 
 
 class IncrementalView:
-    """A view re-keyed from a feed, kept as numbered Parquet snapshots: each batch merges its rows in.
+    """A view re-keyed from a feed: each batch writes its own newest rows, reads merge what was written.
 
-    A batch that is run again after a failure writes the same snapshot again.
+    Every ``merge_every`` batches all rows so far are written as one, so a read merges a bounded
+    number of folders and a batch in between costs its own rows only. A batch that is run again
+    after a failure writes the same folders again.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], derive: Callable[[DataFrame], DataFrame]):
-        self.spark, self.path, self.keys, self.derive = spark, path.rstrip("/"), keys, derive
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], derive: Callable[[DataFrame], DataFrame], merge_every: int = 16):
+        self.spark, self.path, self.keys, self.derive, self.merge_every = spark, path.rstrip("/"), keys, derive, merge_every
         self.version = -1
 
+    def _upto(self, epoch: int) -> DataFrame:
+        """Newest rows by key of the last merged folder before or at a batch and of the batches after it."""
+        last = (epoch + 1) // self.merge_every * self.merge_every - 1
+        merged = [f"{self.path}/v{last}"] if last >= 0 else []
+        written = [*merged, *(f"{self.path}/d{n}" for n in range(last + 1, epoch + 1))]
+        return reconcile.newest(self.spark.read.parquet(*written), keys=self.keys)
+
     def apply(self, batch: DataFrame, epoch: int) -> None:
         """Newest row of each key by ``seq``; rows of kind DEL take their key out of ``rows()``."""
         new = self.derive(batch)
         for k in self.keys:
             new = new.where(F.col(k).isNotNull())
-        every = new if epoch == 0 else self.spark.read.parquet(f"{self.path}/v{epoch - 1}").unionByName(new)
-        reconcile.newest(every, keys=self.keys).write.mode("overwrite").parquet(f"{self.path}/v{epoch}")
+        new = reconcile.newest(new, keys=self.keys)
+        new.write.mode("overwrite").parquet(f"{self.path}/d{epoch}")
+        if (epoch + 1) % self.merge_every == 0:
+            every = self.spark.read.parquet(f"{self.path}/d{epoch}")
+            if epoch > 0:
+                every = every.unionByName(self._upto(epoch - 1))
+            reconcile.newest(every, keys=self.keys).write.mode("overwrite").parquet(f"{self.path}/v{epoch}")
         self.version = epoch
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version}").where("kind != 'DEL'")
+        return self._upto(self.version).where("kind != 'DEL'")
 
 
 def running_merge(feed: DataFrame, fold: Column) -> DataFrame:

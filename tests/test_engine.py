@@ -465,6 +465,19 @@ def test_change_feed_and_view(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 0
 
 
+def test_view_of_many_batches(spark, tmp_path):
+    """After every batch the view is what the newest rows of all batches so far give; a batch may come twice."""
+    batches = [[(k, i, "DEL" if (i + k) % 4 == 0 else "SET") for k in range(i % 3, 6)] for i in range(7)]
+    view = feeds.IncrementalView(spark, str(tmp_path / "view"), ["k"], lambda b: b, merge_every=3)
+    want = {}
+    for i, batch in enumerate(batches):
+        df = spark.createDataFrame(batch, "k long, seq long, kind string")
+        for _ in range(1 + i % 2):
+            view.apply(df, i)
+        want |= {k: (seq, kind) for k, seq, kind in batch}
+        assert sorted(rows(view.rows().select("k", "seq", "kind"))) == sorted((k, *v) for k, v in want.items() if v[1] == "SET")
+
+
 def test_lru_cache(spark):
     t = spark.createDataFrame([(i, k) for i, k in enumerate("abcabdab")], "seq long, key string")
     assert rows(files.simulate_cache(t, 2)) == [("all", 1, 7)] or rows(files.simulate_cache(t, 3))[0][1] == 4
