@@ -182,9 +182,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column] |
     """A model of ``label_col`` (0 or 1) from the texts alone; None without both labels.
 
     ``learn`` says by the id which rows may be learned from. Several labels of an id are averaged,
-    null labels and ids are left out; several rows with a labelled id are learned one by one. Above
-    ``how.max_rows`` labelled ids a sample by hash of the id is taken, so the rows fitted, their
-    broadcast ids and the sums sent to the driver are bounded whatever the tables' sizes.
+    null labels and ids are left out; of several rows with a labelled id one is learned, chosen by
+    a hash of its statistics. Above ``how.max_rows`` labelled ids a sample by hash of the id is
+    taken, so the rows fitted, their broadcast ids and the sums sent to the driver are bounded
+    whatever the tables' sizes and however often an id comes.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if learn is not None:
@@ -197,7 +198,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column] |
         known = known.where(F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(known), "key")
     fold = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("fold")), F.lit(how.folds)).cast("int").alias("fold")
-    rows = materialize(_with_statistics(rows.select("y", fold, "text"), "text"), "quality-fit").coalesce(how.partitions)
+    found = _with_statistics(rows.select("key", "y", fold, "text"), "text")
+    one = found.groupBy("key").agg(F.max_by(F.struct("y", "fold", "stats"), F.xxhash64("stats")).alias("row"))
+    rows = materialize(one.select("row.*"), "quality-fit").coalesce(how.partitions)
     k = len(STATISTICS)
     sums = rows.agg(
         F.count(F.lit(1)).alias("n"), F.avg("y").alias("y"),

@@ -280,6 +280,14 @@ def test_quality_odd_rows(spark):
     assert kept.columns == frame(spark).columns and kept.count() == len(TEXTS)
 
 
+def test_repeated_ids_are_learned_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    often = docs.unionByName(docs.where("doc_id % 7 = 0")).unionByName(docs.where("doc_id = 14").crossJoin(spark.range(200)).drop("id"))
+    once, more = (quality.fit(d, labels, quality.learnable) for d in (docs, often))
+    assert np.allclose(once.weights, more.weights, atol=1e-6) and np.allclose(once.y, more.y, atol=1e-6)
+
+
 def test_isotonic_is_the_least_squares_fit():
     rng = np.random.default_rng(1)
     w, v = rng.uniform(0.5, 2, 30), rng.normal(size=30)
