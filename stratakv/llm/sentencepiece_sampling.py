@@ -39,7 +39,7 @@ _MORE = np.uint64(0xC2B2AE3D27D4EB4F)  # odd, so words of one kind and step have
 SCALE = 2.5
 #: Texts of a batch are handled in runs of about so many characters (about 100 bytes each); a longer text alone.
 RUN_CHARS = 200_000
-#: Edges of word types' lattices that a task keeps (14 bytes each); beyond them it starts anew.
+#: Edges of word types' lattices that a task keeps (14 bytes each); beyond them only types in use stay.
 KEPT_EDGES = 1_000_000
 #: Characters of new word types that are added in one turn (about 300 bytes each meanwhile); a longer word alone.
 ADD_CHARS = 60_000
@@ -219,6 +219,7 @@ class Lattices:
         self.nodes = self.edges = 0
         self.first = np.zeros(0, dtype=np.int64)
         self.length = np.zeros(0, dtype=np.int64)
+        self.uses = np.zeros(0, dtype=np.int64)
         if not hasattr(self, "share"):  # what has grown stays as room for the next types
             self.chars = np.zeros(0, dtype=np.uint32)
             self.edge_at = np.zeros(1, dtype=np.int32)
@@ -230,6 +231,28 @@ class Lattices:
         self.values = np.full(1 << self.bits, -1, dtype=np.int32)
         self.held = 0
 
+    def shrink(self) -> None:
+        """Drops types but those used more than once since the last time, the most used of half the bound's edges."""
+        size = self.edge_at[self.first + self.length] - self.edge_at[self.first]
+        found = self.values >= 0
+        key, known = np.zeros(len(size), dtype=np.uint64), np.zeros(len(size), dtype=bool)
+        key[self.values[found]], known[self.values[found]] = self.keys[found], True
+        order = np.argsort(-self.uses, kind="stable")
+        order = order[(self.uses[order] > 1) & known[order]]
+        stay = np.sort(order[np.cumsum(size[order], dtype=np.int64) <= KEPT_EDGES // 2])
+        n, m = self.length[stay], size[stay].astype(np.int64)
+        first = np.cumsum(n) - n
+        nodes = np.repeat(self.first[stay] - first, n) + np.arange(int(n.sum()))
+        edges = np.repeat(self.edge_at[self.first[stay]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        ends = np.cumsum(self.edge_at[nodes + 1] - self.edge_at[nodes])
+        chars, share, ids, step = self.chars[nodes], self.share[edges], self.ids[edges], self.step[edges]
+        self.clear()
+        self.nodes, self.edges = len(nodes), len(edges)
+        self.chars[: self.nodes], self.edge_at[1 : self.nodes + 1] = chars, ends
+        self.share[: self.edges], self.ids[: self.edges], self.step[: self.edges] = share, ids, step
+        self.first, self.length = first, n
+        self._keep(key[stay], np.arange(len(stay)))
+
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """The type of each key in the table; -1 if there is none."""
         slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -270,7 +293,7 @@ class Lattices:
         Words are looked up by a hash of their characters and then compared in full.
         """
         if self.edges > KEPT_EDGES:
-            self.clear()
+            self.shrink()
         length = np.diff(np.append(start, len(codes)))
         keys = word_hashes(codes, start, length)
         out = self._find(keys)
@@ -289,6 +312,9 @@ class Lattices:
             base = len(self.length)
             self._add_words(codes, start, length, words)
             out[words] = np.arange(base, base + len(words))
+        uses = np.bincount(out, minlength=len(self.length))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         return out
 
     def _add_words(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray, words: np.ndarray) -> None:

@@ -189,6 +189,35 @@ def all_segmentations(v, word):
     return out
 
 
+def test_types_dropped_and_kept_sample_alike(monkeypatch):
+    v = sampling.Vocabulary()
+    rng = np.random.default_rng(5)
+    names = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(n))) for n in rng.integers(1, 70, 400)] + ["\u4e2d\u6587", "\u2581", "\U0001f600" * 9]
+    texts = [" ".join(names[int(i)] for i in np.minimum(rng.geometric(0.02, 60), len(names)) - 1) for _ in range(120)] + [" ".join(names)]
+    keys = sampling.row_keys(list(range(len(texts))), 4)
+
+    def run(bound):
+        monkeypatch.setattr(sampling, "KEPT_EDGES", bound)
+        lattices, out, kept, shrink = sampling.Lattices(v), [], [], sampling.Lattices.shrink
+
+        def seen(own):
+            before = len(own.length)
+            shrink(own)
+            kept.append((before, len(own.length)))
+
+        monkeypatch.setattr(sampling.Lattices, "shrink", seen)
+        for i in range(0, len(texts), 5):
+            out += sampling._column(lattices, texts[i : i + 5], keys[i : i + 5], 3)[0].to_pylist()
+        monkeypatch.setattr(sampling.Lattices, "shrink", shrink)
+        return out, kept
+
+    (few, kept), (every, never) = run(3000), run(10**9)
+    assert not never and any(0 < after < before for before, after in kept)
+    for a, b in zip(few, every, strict=True):
+        assert [x["ids"] for x in a] == [x["ids"] for x in b]
+        assert np.allclose([x["log_prob"] for x in a], [x["log_prob"] for x in b], rtol=1e-9)
+
+
 def test_samples_follow_the_lattice(lattices):
     v = lattices.v
     text, n, k = "ingot re", 4000, 3
