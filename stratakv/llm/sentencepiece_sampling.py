@@ -39,8 +39,8 @@ _MORE = np.uint64(0xC2B2AE3D27D4EB4F)  # odd, so words of one kind and step have
 SCALE = 2.5
 #: Texts of a batch are handled in runs of about so many characters (about 100 bytes each); a longer text alone.
 RUN_CHARS = 200_000
-#: Edges of word types' lattices that a task keeps (14 bytes each); beyond them only types in use stay.
-KEPT_EDGES = 1_000_000
+#: Edges of word types' lattices that a task keeps (11 bytes each for usual models); beyond them only types in use stay.
+KEPT_EDGES = 2_000_000
 #: Characters of new word types that are added in one turn (about 300 bytes each meanwhile); a longer word alone.
 ADD_CHARS = 60_000
 
@@ -208,7 +208,7 @@ class Lattices:
     Node i (a character of a type) has the edges ``edge_at[i]`` to ``edge_at[i + 1]``, one for each
     piece from there that ends within the word, shortest first: ``share`` is the chance, given the
     node, of that piece or a shorter one, ``ids`` the piece (vocabulary size: the character in
-    bytes) and ``step`` its characters. Types are kept up to ``KEPT_EDGES`` edges (14 bytes each).
+    bytes) and ``step`` its characters. Types are kept up to ``KEPT_EDGES`` edges (11 bytes each).
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -224,8 +224,8 @@ class Lattices:
             self.chars = np.zeros(0, dtype=np.uint32)
             self.edge_at = np.zeros(1, dtype=np.int32)
             self.share = np.zeros(0)
-            self.ids = np.zeros(0, dtype=np.int32)
-            self.step = np.zeros(0, dtype=np.uint16)
+            self.ids = np.zeros(0, dtype=np.min_scalar_type(self.v.size))
+            self.step = np.zeros(0, dtype=np.min_scalar_type(self.v.longest))
         self.bits = 12
         self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
         self.values = np.full(1 << self.bits, -1, dtype=np.int32)
@@ -443,28 +443,30 @@ class Lattices:
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         which = np.arange(len(types))
         node, rest = self.first[types], self.length[types]
+        upto = np.zeros(len(types))
         share = self.share
         while len(which):
             u = uniforms(which, len(steps))
-            edge = self.edge_at[node]
-            high = share[edge]
-            chance = high.copy()
-            open_ = np.flatnonzero(u >= high)
-            low, at = high[open_], edge[open_]
-            while len(open_):  # the last share of a node is 1
-                at += 1
-                high = share[at]
-                over = u[open_] >= high
+            base, edge = self.edge_at[node], self.edge_at[node + 1] - 1
+            chance = share[edge]  # 1: the last share of a node
+            open_ = np.flatnonzero(edge > base)
+            at, high = edge[open_], chance[open_]
+            while len(open_):  # from the longest piece down, as it is mostly the likeliest
+                low = share[at - 1]
                 chance[open_] = high - low
-                edge[open_] = at
-                open_, low, at = open_[over], high[over], at[over]
-            log[which] += np.log(np.maximum(chance, 1e-300))
+                down = np.flatnonzero(u[open_] < low)
+                open_, at, high = open_[down], at[down] - 1, low[down]
+                edge[open_], chance[open_] = at, high
+                more = np.flatnonzero(at > base[open_])
+                open_, at, high = open_[more], at[more], high[more]
+            upto += np.log(np.maximum(chance, 1e-300))
             steps.append((which, edge))
-            count[which] += 1
             n = self.step[edge]
             rest, node = rest - n, node + n
             go = rest > 0
-            which, node, rest = which[go], node[go], rest[go]
+            ended = which[~go]
+            log[ended], count[ended] = upto[~go], len(steps)
+            which, node, rest, upto = which[go], node[go], rest[go], upto[go]
         return log, count, steps
 
     def other(self, kind: int, not_these: Sequence[Sequence[int]], uniforms: Iterator[float]) -> tuple[float, list[int]]:
@@ -606,10 +608,13 @@ def sample_run(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -
     text_of = np.repeat(np.arange(len(texts)), n_words)
     place = np.arange(len(types)) - start[text_of]
 
+    def purpose(rank: int, kind: int, step: int = 0) -> np.ndarray:
+        """What a draw is for and its step, each hashed in full."""
+        return mix(np.array([4 * rank + kind + 1], dtype=np.uint64) * _GOLD) ^ mix(np.array([step + 1], dtype=np.uint64))
+
     def counter(rank: int, kind: int, at: np.ndarray, step: int = 0) -> np.ndarray:
-        """The draw's number: what it is for, its word and its step, each hashed in full."""
-        what = mix(np.array([4 * rank + kind + 1], dtype=np.uint64) * _GOLD)[0] ^ mix(np.array([step + 1], dtype=np.uint64))[0]
-        return at.astype(np.uint64) * _MORE + what
+        """The draw's number: its purpose and its word."""
+        return at.astype(np.uint64) * _MORE + purpose(rank, kind, step)
 
     root = -np.log(-np.log(uniform(keys, np.full(len(texts), 2**63, dtype=np.uint64))))
     # sets of segmentations, per text: (bound, rank of the sample whose prefix it shares, word, excluded)
@@ -626,10 +631,8 @@ def sample_run(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -
         # words from the branching one on are drawn anew; those before it come from the parent sample
         anew = live_word & (place > branch_word[text_of]) if rank else live_word
         at = np.flatnonzero(anew)
-        key, where = keys[text_of[at]], place[at]
-        log_at, count_at, steps = lattices.draw(
-            types[at], lambda which, step: uniform(key[which], counter(rank, 0, where[which], step))
-        )
+        own = keys[text_of[at]] + place[at].astype(np.uint64) * _MORE * _GOLD  # the words' part of the number
+        log_at, count_at, steps = lattices.draw(types[at], lambda which, step: uniform(own[which], purpose(rank, 0, step)))
         log = np.zeros(len(types))
         log[at] = log_at
         special: dict[int, list[int]] = {}
