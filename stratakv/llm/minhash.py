@@ -8,7 +8,7 @@ two sets agree with the chance of their weighted Jaccard similarity. The number
 k ln k + 2k for a whole set, whatever its size, besides one look at each element.
 
 Signatures are cut into bands. Every member of a bucket is checked against the bucket's leader on
-its full shingle set; buckets whose members are then still in different components are searched
+its full shingle set, unless links found before already join the two; buckets whose members are then still in different components are searched
 for every remaining link between them, in blocks. Components of the links are the classes.
 """
 
@@ -314,6 +314,34 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(lambda b: give_back(run(b)), "a long, b long")
 
 
+def _leader_links(members: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between members and leaders of buckets, and the components (node, component) of all of them.
+
+    A text meets the leader of its largest bucket first, so there is one pair a text and not one a
+    band. Of the other members' and leaders' pairs only those are left whose ends are then still in
+    different components: the others could not change a component.
+    """
+    pair = (F.least("nid", "leader").alias("a"), F.greatest("nid", "leader").alias("b"))
+    first = members.where("nid != leader").groupBy("nid").agg(F.max_by("leader", F.struct("size", "key")).alias("leader"))
+    first = materialize(first.select(*pair).distinct(), "pairs")
+    links = materialize(_checked(first, sets, similarity), "links")
+    labels = components(links)
+    placed = members.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn(
+        "component", F.coalesce("component", "nid")
+    )
+    heads = placed.groupBy("key").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"),
+        F.max(F.when(F.col("nid") == F.col("leader"), F.col("component"))).alias("head"),
+    )
+    apart = placed.join(heads.where("least < most").select("key", "head"), "key").where("component != head")
+    others = apart.select(*pair).distinct().join(first, ["a", "b"], "left_anti")
+    more = materialize(_checked(others, sets, similarity), "links")
+    if more.isEmpty():
+        return links, labels
+    links = links.unionByName(more)
+    return links, components(links)
+
+
 def block_links(nid: np.ndarray, component: np.ndarray, query: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links between queries and members of other components, one for each pair of components that meet.
 
@@ -433,14 +461,12 @@ def classes(
     draw = F.struct(F.xxhash64("nid", F.pmod("key", F.lit(4))).alias("h"), F.col("nid").alias("nid"))
     buckets = banded.groupBy("key").agg(F.min(draw)["nid"].alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(banded.join(buckets, "key").select("key", "nid", "leader", "size"), "members")
-    pairs = members.where("nid != leader").select(F.least("nid", "leader").alias("a"), F.greatest("nid", "leader").alias("b")).distinct()
     wanted = materialize(members.select("nid").distinct().join(nodes.select("nid", "node"), "nid"), "wanted")
     if wanted.isEmpty():
         labels = spark.createDataFrame([], "node long, component long")
     else:
         sets = materialize(_payload(docs, text_col, wanted, how, weights), "sets")
-        links = materialize(_checked(pairs, sets, how.similarity), "links")
-        labels = components(links)
+        links, labels = _leader_links(members, sets, how.similarity)
         more = materialize(_rest(members.where("size > 2").select("key", "nid"), labels, sets, how.similarity), "links")
         if not more.isEmpty():
             labels = components(links.unionByName(more))

@@ -108,6 +108,22 @@ def test_near_dedup_in_small_blocks(spark, monkeypatch):
     assert got_classes(minhash.classes(frame(spark, rows))) == brute_classes(rows)
 
 
+def test_near_dedup_checks_few_pairs_of_a_large_group(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = [f"w{rng.integers(10**6)}" for _ in range(200)]
+    rows = list(enumerate([" ".join(base), *copies(rng, base, 150, 2)]))
+    seen = []
+    checked = minhash._checked
+
+    def counted(pairs, sets, similarity):
+        seen.append(pairs.count())
+        return checked(pairs, sets, similarity)
+
+    monkeypatch.setattr(minhash, "_checked", counted)
+    assert got_classes(minhash.classes(frame(spark, rows))) == brute_classes(rows)
+    assert sum(seen) <= 2 * len(rows)
+
+
 def test_near_dedup_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
