@@ -223,6 +223,14 @@ def test_rank_models(spark):
     assert abs(both.agg(F.max("n")).first()[0] - 1300) < 60
 
 
+def test_seeks_look_at_each_row_once(spark, capsys):
+    trace = spark.createDataFrame([(1, "seek", 4), (2, "seek", 5), (3, "seek", 9), (4, "seek", None), (5, "get", 8)], "seq long, op string, key long")
+    got = files.replay(trace, spark.createDataFrame([(5, "a"), (8, "b")], "key long, value string"))
+    assert sorted((r.seq, r.found) for r in got.collect()) == [(1, 5), (2, 5), (3, None), (4, None), (5, 8)]
+    got.explain()
+    assert "specifiedwindowframe(RangeFrame, currentrow$(), unboundedfollowing$())" not in capsys.readouterr().out
+
+
 def test_discrete_models(spark):
     m = models.DiscreteCdf([(10, 19, 4), (30, 39, 3)])
     assert m.count == 7 and [m.count_less_than(m.select(r)) for r in range(7)] == list(range(7))
