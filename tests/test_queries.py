@@ -47,3 +47,11 @@ def test_inverted_lists_recall(spark, sf):
     near = queries.vectors.nearest(rows, "embedding", queries.QUERY_VECTOR, 10, "euclidean", ["vec_id"])
     got = {r.vec_id for r in queries.QUERIES["i06_inverted_lists"](spark, d).collect()}
     assert len(got & {r.vec_id for r in near.collect()}) >= 9
+
+
+def test_merged_rank_models_over_many_chunks(spark):
+    keys = spark.range(2000).selectExpr("0L as m", "cast(id as double) as k").union(spark.range(2000).selectExpr("1L as m", "id * 3 + 0.5D as k"))
+    merged = queries.models.merge_plr(queries.models.fit_plr(keys, "m", "k", 1.0, chunk=100))
+    got = queries.models.predict(spark.range(2000).selectExpr("0L as model", "cast(id as double) as key"), merged)
+    assert all(abs(r["rank"] - (r.key + -(-(r.key - 0.5) // 3) * (r.key > 0.5))) <= 5 for r in got.collect())
+    assert {r.n for r in merged.collect()} == {4000}
