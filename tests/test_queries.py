@@ -49,9 +49,29 @@ def test_inverted_lists_recall(spark, sf):
     assert len(got & {r.vec_id for r in near.collect()}) >= 9
 
 
+def in_duck(name, **tables):
+    """The query's SQL over tables that are given as SELECT."""
+    con = duckdb.connect()
+    for t, sql in tables.items():
+        con.sql(f"CREATE VIEW {t} AS {sql}")
+    return con.sql(queries.ORACLES[name])
+
+
+def given(tmp_path, **tables):
+    for t, sql in tables.items():
+        duckdb.sql(f"COPY ({sql}) TO '{tmp_path}/{t}.parquet'")
+    return str(tmp_path)
+
+
 def test_merged_rank_models_over_many_chunks(spark):
     keys = spark.range(2000).selectExpr("0L as m", "cast(id as double) as k").union(spark.range(2000).selectExpr("1L as m", "id * 3 + 0.5D as k"))
     merged = queries.models.merge_plr(queries.models.fit_plr(keys, "m", "k", 1.0, chunk=100))
     got = queries.models.predict(spark.range(2000).selectExpr("0L as model", "cast(id as double) as key"), merged)
     assert all(abs(r["rank"] - (r.key + -(-(r.key - 0.5) // 3) * (r.key > 0.5))) <= 5 for r in got.collect())
     assert {r.n for r in merged.collect()} == {4000}
+
+
+def test_sketch_union_beyond_the_sketch(spark, tmp_path):
+    e = "SELECT i AS event_id, i AS user_id, 'view' AS event_type FROM range(20000) t(i)"
+    got = queries.QUERIES["f26_sketch_union"](spark, given(tmp_path, events=e))
+    assert list(map(tuple, got.collect())) == [(20000, True)]
