@@ -75,3 +75,9 @@ def test_sketch_union_beyond_the_sketch(spark, tmp_path):
     e = "SELECT i AS event_id, i AS user_id, 'view' AS event_type FROM range(20000) t(i)"
     got = queries.QUERIES["f26_sketch_union"](spark, given(tmp_path, events=e))
     assert list(map(tuple, got.collect())) == [(20000, True)]
+
+
+def test_tuple_elements_have_the_names_of_the_sql(spark, duck):
+    got = queries.QUERIES["c06_collection_literals"](spark, SF).toArrow().to_pylist()
+    want = duck.sql(queries.ORACLES["c06_collection_literals"]).to_arrow_table().to_pylist()
+    assert sorted(got, key=repr) == sorted(want, key=repr)
