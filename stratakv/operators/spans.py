@@ -120,6 +120,7 @@ def islands(spans: DataFrame, by: list[str] | None = None, keep: bool = False) -
 
 def coverage(ranges: DataFrame, by: list[str]) -> DataFrame:
     """Per group: number of keys in the union of inclusive integer ranges (lo, hi), and of the ranges."""
-    spans = ranges.select(*by, F.col("lo").alias("start"), (F.col("hi") + 1).alias("end"))
+    # of ranges with one start the longest holds the others, so the order of starts has no ties
+    spans = ranges.groupBy(*by, F.col("lo").alias("start")).agg((F.max("hi") + 1).alias("end"))
     united = islands(spans, by)
     return united.groupBy(*by).agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("covered"), F.count(F.lit(1)).alias("islands"))

@@ -81,3 +81,10 @@ def test_tuple_elements_have_the_names_of_the_sql(spark, duck):
     got = queries.QUERIES["c06_collection_literals"](spark, SF).toArrow().to_pylist()
     want = duck.sql(queries.ORACLES["c06_collection_literals"]).to_arrow_table().to_pylist()
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_coverage_of_tied_ranges(spark):
+    r = spark.createDataFrame([(1, lo, lo + w) for lo in range(0, 300, 10) for w in (3, 3, 12, 3, 12) if lo % 40 or w == 3], "g int, lo long, hi long")
+    keys = {k for x in r.collect() for k in range(x.lo, x.hi + 1)}
+    want = (1, len(keys), sum(k - 1 not in keys for k in keys))
+    assert list(map(tuple, queries.spans.coverage(r, ["g"]).collect())) == [want]
