@@ -71,6 +71,13 @@ def test_merged_rank_models_over_many_chunks(spark):
     assert {r.n for r in merged.collect()} == {4000}
 
 
+def test_vector_bytes_at_halves(spark, tmp_path):
+    """0.0125 is below one half of a thousandth more in double precision and at it in single precision."""
+    e = "SELECT i AS vec_id, CAST(list_transform(range(64), lambda x: (i + 0.5) / 1000) AS FLOAT[]) AS embedding FROM range(200) t(i)"
+    got = queries.QUERIES["g36_vector_bytes"](spark, given(tmp_path, embeddings=e))
+    assert sorted(map(tuple, got.collect())) == sorted(in_duck("g36_vector_bytes", embeddings=e).fetchall())
+
+
 def test_sketch_union_beyond_the_sketch(spark, tmp_path):
     e = "SELECT i AS event_id, i AS user_id, 'view' AS event_type FROM range(20000) t(i)"
     got = queries.QUERIES["f26_sketch_union"](spark, given(tmp_path, events=e))
